@@ -39,6 +39,10 @@ def without(tokens: Column, words: list[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(words))
 
 
+def within(tokens: Column, words: list[str]) -> Column:
+    return F.filter(tokens, lambda t: t.isin(words))
+
+
 def match_count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
@@ -126,14 +130,15 @@ def detect_lang(tokens: Column, profiles: dict[str, list[str]]) -> Column:
     """
     scored = [
         F.struct(
-            F.size(F.filter(tokens, lambda t, w=words: t.isin(w))).alias("hits"),
+            F.size(within(tokens, words)).alias("hits"),
             F.lit(-rank).alias("order"),
             F.lit(code).alias("code"),
         )
         for rank, (code, words) in enumerate(sorted(profiles.items()))
     ]
-    best = F.greatest(*scored) if len(scored) > 1 else scored[0]
-    return F.when(best["hits"] > 0, best["code"])
+    # a one-element transform evaluates the costly scores once for both uses of the winner
+    best = F.array(F.array_max(F.array(*scored)))
+    return F.transform(best, lambda b: F.when(b["hits"] > 0, b["code"]))[0]
 
 
 def normalize_lang(c: Column) -> Column:

@@ -30,9 +30,9 @@ def url_from_text(text: Column) -> Column:
 
 def title_from_url(url: Column) -> Column:
     """Last path part of a URL with dashes and underscores as spaces."""
-    path = F.regexp_replace(F.regexp_extract(blank_if_null(url), URL_PATH, 1), r"^/+|/+$", "")
-    slug = F.element_at(F.split(path, "/"), -1)
-    return F.trim(F.regexp_replace(F.split_part(slug, F.lit(";"), F.lit(1)), "[-_]+", " "))
+    path = F.regexp_replace(F.regexp_extract(blank_if_null(url), URL_PATH, 1), r";[^/]*$", "")
+    slug = F.element_at(F.split(F.regexp_replace(path, r"^/+|/+$", ""), "/"), -1)
+    return F.trim(F.regexp_replace(slug, "[-_]+", " "))
 
 
 def netloc(url: Column) -> Column:

@@ -21,11 +21,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """Keys holding at least `share` of the non-null rows: never more than 1 / share of them."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    return (
-        counts.join(F.broadcast(total), F.col("_n") >= F.col("_total") * F.lit(share))
-        .select(F.col(key))
-    )
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.filter(F.col("_n") >= total * F.lit(share)).select(key)
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
@@ -53,6 +50,15 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, share: float = HOT_
         *kept, *[F.coalesce(F.col("_hot")[v], F.col("_cold")[v]).alias(v) for v in values])
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join that also matches null keys, with the keys once in the result."""
+    renamed = right.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in right.columns])
+    match = F.lit(True)
+    for k in keys:
+        match = match & left[k].eqNullSafe(renamed[f"_k_{k}"])
+    return left.join(renamed, match).drop(*[f"_k_{k}" for k in keys])
+
+
 def n_buckets(df: DataFrame) -> int:
     """Ranges used to cut an order into parallel pieces."""
     return max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -94,8 +100,8 @@ def running_totals(df: DataFrame, groups: list[str], column: str, values: list[s
     inside = (Window.partitionBy(*groups, "_bucket").orderBy(order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        ranged.withColumns({f"_r_{v}": F.sum(v).over(inside) for v in values})
-        .join(offsets, [*groups, "_bucket"])
+        join_on(ranged.withColumns({f"_r_{v}": F.sum(v).over(inside) for v in values}),
+                offsets, [*groups, "_bucket"])
         .withColumns({f"cum_{v}": F.col(f"_r_{v}") + F.col(f"_o_{v}") for v in values})
         .drop("_bucket", *[f"_r_{v}" for v in values], *[f"_o_{v}" for v in values])
     )
@@ -121,8 +127,7 @@ def ranked(df: DataFrame, groups: list[str], column: str | Column, ties: list[st
         F.sum("_n").over(whole).alias(f"{out}_of"))
     inside = Window.partitionBy(*groups, "_bucket").orderBy("_by", *ties)
     return (
-        ranged.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*groups, "_bucket"])
+        join_on(ranged.withColumn("_inside", F.row_number().over(inside)), offsets, [*groups, "_bucket"])
         .withColumn(out, F.col("_inside") + F.col("_offset"))
         .drop("_by", "_bucket", "_inside", "_offset")
     )
