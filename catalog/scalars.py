@@ -117,7 +117,7 @@ def remove_boilerplate(spark, sf_dir):
 @query("detect_lang", lambda: f"SELECT doc_id, {S.detect_lang('text')} AS detected FROM documents")
 def detect_lang(spark, sf_dir):
     df = documents(spark, sf_dir).select("doc_id", T.profile_tokens(F.col("text")).alias("tokens"))
-    return df.select("doc_id", T.detect_lang(F.col("tokens"), T.stop_word_profiles(PROFILE_CODES)).alias("detected"))
+    return df.select("doc_id", T.detect_lang("tokens", T.stop_word_profiles(PROFILE_CODES)).alias("detected"))
 
 
 _LANG = "CASE doc_id % 6 WHEN 0 THEN 'he-IL' WHEN 1 THEN 'ZH' WHEN 2 THEN 'zh-Hant' WHEN 3 THEN NULL ELSE upper(lang) END"
@@ -163,11 +163,10 @@ def misses(spark, sf_dir):
 @query("remove_stop_words", f"""SELECT doc_id, array_to_string(list_filter({S.space_tokens('text')},
     lambda t: lower(t) NOT IN ({quoted(ENGLISH)})), ' ') AS kept FROM documents""")
 def remove_stop_words(spark, sf_dir):
-    return documents(spark, sf_dir).select(
-        "doc_id", T.remove_stop_words(F.col("text"), T.default_stop_words()).alias("kept"))
+    return T.remove_stop_words(documents(spark, sf_dir), "text", T.default_stop_words(), "kept").select("doc_id", "kept")
 
 
 @query("remove_hebrew_stop_words", f"""WITH {CANON} SELECT doc_id, array_to_string(list_filter({S.space_tokens('text')},
     lambda t: t NOT IN ({quoted(K.HEBREW_STOP_WORDS)})), ' ') AS kept FROM canon""")
 def remove_hebrew_stop_words(spark, sf_dir):
-    return canonical(spark, sf_dir).select("doc_id", T.remove_hebrew_stop_words(F.col("text")).alias("kept"))
+    return T.remove_hebrew_stop_words(canonical(spark, sf_dir), "text", "kept").select("doc_id", "kept")

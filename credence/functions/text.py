@@ -4,7 +4,7 @@ from __future__ import annotations
 import re
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence import constants as K
@@ -35,12 +35,18 @@ def space_tokens(c: Column) -> Column:
     return F.filter(F.split(blank_if_null(c), r"(?U)\s+"), lambda t: t != F.lit(""))
 
 
-def without(tokens: Column, words: list[str]) -> Column:
-    return F.filter(tokens, lambda t: ~t.isin(words))
+def word_list(words: list[str]) -> str:
+    """Words as a SQL list: one parsed string is far cheaper to plan than one literal call per word."""
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
 
 
-def within(tokens: Column, words: list[str]) -> Column:
-    return F.filter(tokens, lambda t: t.isin(words))
+def without(tokens: str, words: list[str]) -> Column:
+    """Tokens of an array column that are not in a list (a hash lookup per token)."""
+    return F.expr(f"filter({tokens}, t -> t NOT IN ({word_list(words)}))")
+
+
+def within(tokens: str, words: list[str]) -> Column:
+    return F.expr(f"filter({tokens}, t -> t IN ({word_list(words)}))")
 
 
 def match_count(c: Column, pattern: str) -> Column:
@@ -97,13 +103,15 @@ def default_stop_words(language: str = "english") -> list[str]:
     return StopWordsRemover.loadDefaultStopWords(language)
 
 
-def remove_stop_words(c: Column, words: list[str]) -> Column:
+def remove_stop_words(df: DataFrame, column: str, words: list[str], out: str) -> DataFrame:
     """Drop stop words without regard to case, keep order, join by one space."""
-    return F.array_join(F.filter(space_tokens(c), lambda t: ~F.lower(t).isin(words)), " ")
+    kept = F.expr(f"array_join(filter(_tokens, t -> lower(t) NOT IN ({word_list(words)})), ' ')")
+    return df.withColumn("_tokens", space_tokens(F.col(column))).withColumn(out, kept).drop("_tokens")
 
 
-def remove_hebrew_stop_words(c: Column) -> Column:
-    return F.array_join(without(space_tokens(c), K.HEBREW_STOP_WORDS), " ")
+def remove_hebrew_stop_words(df: DataFrame, column: str, out: str) -> DataFrame:
+    kept = F.array_join(without("_tokens", K.HEBREW_STOP_WORDS), " ")
+    return df.withColumn("_tokens", space_tokens(F.col(column))).withColumn(out, kept).drop("_tokens")
 
 
 # ---- language -----------------------------------------------------------------------------
@@ -123,7 +131,7 @@ def profile_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(blank_if_null(c)), F.lit(r"([\p{L}']+)"), F.lit(1))
 
 
-def detect_lang(tokens: Column, profiles: dict[str, list[str]]) -> Column:
+def detect_lang(tokens: str, profiles: dict[str, list[str]]) -> Column:
     """Language whose profile words cover most tokens; null without a hit; ties by code order.
 
     Row-local, so it needs neither a join nor a shuffle.

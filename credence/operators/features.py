@@ -117,8 +117,8 @@ def without_stop_words(df: DataFrame, stop_words: list[str] = STOP_WORDS) -> Dat
     """Token lists without stop words, their counts and ratios, and the three joined texts."""
     return (
         df.withColumns({
-            "title_tokens_ns": T.without(F.col("title_tokens"), stop_words),
-            "text_tokens_ns": T.without(F.col("text_tokens"), stop_words),
+            "title_tokens_ns": T.without("title_tokens", stop_words),
+            "text_tokens_ns": T.without("text_tokens", stop_words),
         })
         .withColumns({
             "title_n_tokens_ns": F.size("title_tokens_ns"),

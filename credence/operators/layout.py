@@ -25,15 +25,16 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     return counts.filter(F.col("_n") >= total * F.lit(share)).select(key)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
     """Left join to a table that is unique in a string `key`, safe when one key holds most rows.
 
     Hot keys (at most 1 / share rows of the right side) are joined by broadcast. All other rows go
     through an ordinary join that Spark broadcasts or shuffles by the measured size; there, hot and
     null keys carry a row-hash instead of the key, so they spread over the tasks and match nothing.
+    `hot` may come from hot_keys over a cheaper table with the same keys; by default left is counted.
     """
     values = [c for c in right.columns if c != key]
-    hot = hot_keys(left.select(key), key, share)
+    hot = hot_keys(left.select(key), key) if hot is None else hot
     hot_right = right.join(F.broadcast(hot), key, "left_semi").select(
         F.col(key), F.struct(*values).alias("_hot"))
     cold_right = right.select(F.col(key).alias("_cold_key"), F.struct(*values).alias("_cold"))

@@ -68,9 +68,10 @@ def recoverable_rows(df: DataFrame) -> DataFrame:
 def top_words(df: DataFrame, label: int, stop_words: list[str], top_n: int = 25,
               text: str = "text") -> DataFrame:
     """Most frequent letters-only words of a label; equal counts in word order."""
-    words = F.explode(T.without(T.space_tokens(T.letters_only(F.col(text))), stop_words))
+    tokens = T.space_tokens(T.letters_only(F.col(text))).alias("tokens")
     return (
-        df.filter(F.col("label") == label).select(words.alias("word"))
+        df.filter(F.col("label") == label).select(tokens)
+        .select(F.explode(T.without("tokens", stop_words)).alias("word"))
         .groupBy("word").agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "word").limit(top_n)
     )
@@ -100,7 +101,8 @@ def ngram_frequencies(df: DataFrame, key: str, text: str, stop_words: list[str],
     """
     n_docs = df.agg(F.count("*")).scalar()
     tokens = df.repartition(F.col(key)).select(
-        key, T.without(vector_tokens(T.remove_boilerplate(F.col(text))), stop_words).alias("tokens"))
+        key, vector_tokens(T.remove_boilerplate(F.col(text))).alias("tokens")
+    ).select(key, T.without("tokens", stop_words).alias("tokens"))
     grams = tokens.select(key, F.explode(word_grams(F.col("tokens"), low, high)).alias("gram"))
     per_doc = grams.groupBy(key, "gram").agg(F.count("*").alias("tf"))
     return (

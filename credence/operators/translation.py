@@ -1,41 +1,43 @@
 """Translation as a join with a translation memory; what the memory lacks is emitted as work."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.functions import text as T
-from credence.operators.layout import lookup_join
+from credence.operators.layout import hot_keys, lookup_join
 
 
-def memory_key(text: Column, source: Column, target: Column) -> Column:
-    return F.concat_ws(":", F.md5(text), source, target)
+def memory_index(memory: DataFrame, target_lang: str) -> DataFrame:
+    """(text, src, tgt, translation) rows as one row per text: source language to translation.
 
-
-def memory_index(memory: DataFrame) -> DataFrame:
-    """(text, src, tgt, translation) rows as one row per key; the smallest translation of a key stays."""
-    key = memory_key(F.col("text"), F.col("src"), F.col("tgt"))
-    return memory.groupBy(key.alias("_tm_key")).agg(F.min("translation").alias("_tm_text"))
+    The smallest of several translations stays; a map has one entry per source language at most.
+    """
+    single = memory.filter(F.col("tgt") == target_lang).groupBy(F.md5("text").alias("_tm_key"), "src").agg(
+        F.min("translation").alias("translation"))
+    return single.groupBy("_tm_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("src", "translation"))).alias("_tm"))
 
 
 def translate(df: DataFrame, column: str, memory: DataFrame, profiles: dict[str, list[str]],
-              target_lang: str = "en", out: str = "text_used") -> DataFrame:
+              target_lang: str = "en", out: str = "text_used", counted: DataFrame | None = None) -> DataFrame:
     """Translate a column. Same language, unknown language, null and misses keep the text.
 
-    Adds `<column>_lang` and `<column>_did_translate`. Copies of one text share a key, so the join
-    is the skew-safe lookup.
+    Adds `<column>_lang` and `<column>_did_translate`. Copies of one text share a key, so the join is
+    the skew-safe lookup; `counted` is the table to count copies in when df is costly to read twice.
     """
-    lang = T.detect_lang(F.col("_tm_tokens"), profiles)
-    tagged = df.withColumn("_tm_tokens", T.profile_tokens(F.col(column))).withColumn(f"{column}_lang", lang)
-    needed = F.col(f"{column}_lang").isNotNull() & (F.col(f"{column}_lang") != target_lang)
-    keyed = tagged.drop("_tm_tokens").withColumn("_tm_key", F.when(
-        needed, memory_key(F.col(column), F.col(f"{column}_lang"), F.lit(target_lang))))
-    joined = lookup_join(keyed, memory_index(memory), "_tm_key")
-    usable = F.col("_tm_text").isNotNull() & (F.trim("_tm_text") != "")
+    key = F.md5(F.col(column))
+    hot = hot_keys((counted if counted is not None else df).select(key.alias("_tm_key")), "_tm_key")
+    joined = lookup_join(df.withColumn("_tm_key", key), memory_index(memory, target_lang), "_tm_key", hot)
+    lang = F.col(f"{column}_lang")
+    found = F.when(lang != target_lang, F.try_element_at("_tm", lang))
     return (
-        joined.withColumn(f"{column}_did_translate", usable)
-        .withColumn(out, F.when(usable, F.col("_tm_text")).otherwise(F.col(column)))
-        .drop("_tm_key", "_tm_text")
+        joined.withColumn("_tm_tokens", T.profile_tokens(F.col(column)))
+        .withColumn(f"{column}_lang", T.detect_lang("_tm_tokens", profiles))
+        .withColumn("_tm_text", found)
+        .withColumn(f"{column}_did_translate", F.coalesce(F.trim("_tm_text") != "", F.lit(False)))
+        .withColumn(out, F.when(F.col(f"{column}_did_translate"), F.col("_tm_text")).otherwise(F.col(column)))
+        .drop("_tm_key", "_tm", "_tm_tokens", "_tm_text")
     )
 
 

@@ -120,9 +120,10 @@ def adapt_multilingual(parts: list[DataFrame], memory: DataFrame, profiles: dict
     df = df.withColumn("type", F.when(F.col("F-type").isNull() & (F.col("label") == K.FAKE), F.lit("Fake"))
                        .when(F.col("F-type").isNull() & (F.col("label") == K.REAL), F.lit("unknown"))
                        .otherwise(F.col("F-type")))
+    out = df
     for column in ("title", "text"):
-        df = translate(df, column, memory, profiles, target_lang, out=column)
-    return conform(df, {"author": "unknown", "url": "", "rating": 0.5})
+        out = translate(out, column, memory, profiles, target_lang, out=column, counted=df)
+    return conform(out, {"author": "unknown", "url": "", "rating": 0.5})
 
 
 def adapt_bot_news(df: DataFrame) -> DataFrame:
