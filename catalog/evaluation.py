@@ -13,6 +13,7 @@ from credence.operators import features as X
 from credence.operators import metrics as M
 from credence.operators import splits as G
 from credence.operators import thresholds as L
+from credence.operators.layout import cut_lineage
 
 U, U7 = uniform_sql("doc_id"), uniform_sql("doc_id", 7)
 
@@ -268,14 +269,14 @@ _SPELLED = """CASE doc_id % 5 WHEN 0 THEN strftime(CAST(coalesce(try_cast(date_p
   WHEN 2 THEN strftime(coalesce(try_cast(date_published AS TIMESTAMP), TIMESTAMP '2020-01-02 03:04:05'), '%B %-d, %Y') ELSE date_published END"""
 
 
-@query("lenient_dates", f"WITH {CANON}, d AS (SELECT doc_id, {_SPELLED} AS spelled FROM canon) SELECT doc_id, spelled, {S.timestamp('spelled')} AS ts FROM d")
+@query("lenient_dates", f"WITH {CANON}, d AS (SELECT doc_id, {_SPELLED} AS spelled FROM canon) SELECT doc_id, spelled, strftime({S.timestamp('spelled')}, '%Y-%m-%d %H:%M:%S') AS ts FROM d")
 def lenient_dates(spark, sf_dir):
     ts = F.coalesce(F.expr("try_cast(date_published AS TIMESTAMP)"), F.lit("2020-01-02 03:04:05").cast("timestamp"))
     i = F.col("doc_id") % 5
     spelled = (F.when(i == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).when(i == 1, F.date_format(ts, "dd/MM/yyyy"))
                .when(i == 2, F.date_format(ts, "MMMM d, yyyy")).otherwise(F.col("date_published")))
     df = canonical(spark, sf_dir).select("doc_id", spelled.alias("spelled"))
-    return df.withColumn("ts", D.lenient_timestamp(F.col("spelled")))
+    return df.withColumn("ts", F.date_format(D.lenient_timestamp(F.col("spelled")), "yyyy-MM-dd HH:mm:ss"))
 
 
 AGE = f"coalesce(CAST(floor((epoch((SELECT max({TS}) FROM canon)) - epoch({TS})) / 86400) AS INTEGER), 9999)"
@@ -331,7 +332,8 @@ def scored_features(spark, sf_dir):
 
 
 def with_context(spark, sf_dir):
-    return L.build_context(scored_features(spark, sf_dir), KEYS2).select("doc_id", "label", "p_fake", "ctx")
+    df = L.build_context(scored_features(spark, sf_dir), KEYS2)
+    return cut_lineage(df.select("doc_id", "label", "p_fake", "ctx"))
 
 
 @query("search_thresholds", f"""WITH {CTX2}, {grid_sql('cx', MIN2)} SELECT ctx, {r6s('tau_low')} AS tau_low, {r6s('tau_high')} AS tau_high, n, used,
@@ -349,7 +351,7 @@ APPLIED = f"""ap AS (SELECT cx.doc_id, cx.label, cx.p_fake, cx.ctx, coalesce(t.t
     SELECT doc_id, ctx, {r6s('tau_low')} AS tau_low, {r6s('tau_high')} AS tau_high, y_hat, y_hat = -1 AS abstained FROM dec""")
 def apply_thresholds(spark, sf_dir):
     df = with_context(spark, sf_dir)
-    out = L.apply_thresholds(df, L.search_thresholds(df, min_samples=MIN2))
+    out = L.apply_thresholds(df, cut_lineage(L.search_thresholds(df, min_samples=MIN2)))
     return evaluated(out.select("doc_id", "ctx", "tau_low", "tau_high", "y_hat", "abstained"))
 
 
@@ -359,7 +361,7 @@ def apply_thresholds(spark, sf_dir):
     FROM cx LEFT JOIN known k ON k.ctx = cx.ctx, g""")
 def lookup_thresholds(spark, sf_dir):
     df = with_context(spark, sf_dir)
-    known = L.search_thresholds(df, min_samples=MIN2).filter("ctx NOT LIKE '%UNK%'")
+    known = cut_lineage(L.search_thresholds(df, min_samples=MIN2)).filter("ctx NOT LIKE '%UNK%'")
     return evaluated(L.lookup_thresholds(df, known).select("doc_id", "tau_low", "tau_high"))
 
 
@@ -381,7 +383,7 @@ def calibrate(spark, sf_dir):
 @query("eval_with_thresholds", f"""WITH {SCORED_FEATS}, cx AS (SELECT *, {ctx_sql(KEYS2)} AS ctx FROM sf), {grid_sql('cx', MIN2)},
     {APPLIED} {SUMMARY} FROM dec WHERE {uniform_sql('doc_id')} < 0.2""")
 def eval_with_thresholds(spark, sf_dir):
-    stored = L.search_thresholds(with_context(spark, sf_dir), min_samples=MIN2)
+    stored = cut_lineage(L.search_thresholds(with_context(spark, sf_dir), min_samples=MIN2))
     return evaluated(L.eval_with_thresholds(scored_features(spark, sf_dir), stored, "doc_id", KEYS2))
 
 

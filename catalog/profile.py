@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from catalog import sqlfn as S
 from catalog.fixtures import CANON, SCORED, canonical, scored, table
 from catalog.registry import query, quoted, r6, r6s
-from catalog.scalars import ENGLISH
 from credence import constants as K
 from credence.functions import text as T
 from credence.operators import backfill as B
@@ -67,15 +66,15 @@ def recoverable_rows(spark, sf_dir):
     return P.recoverable_rows(gaps(spark, sf_dir))
 
 
-@query("top_words", f"""WITH {CANON}, w AS (SELECT unnest({S.space_tokens(S.letters_only('text'))}) AS word
+@query("top_words", lambda: f"""WITH {CANON}, w AS (SELECT unnest({S.space_tokens(S.letters_only('text'))}) AS word
       FROM canon WHERE label = 1)
-    SELECT word, count(*) AS n FROM w WHERE word NOT IN ({quoted(ENGLISH)}) GROUP BY word ORDER BY n DESC, word LIMIT 25""")
+    SELECT word, count(*) AS n FROM w WHERE word NOT IN ({quoted(S.stop_words("english"))}) GROUP BY word ORDER BY n DESC, word LIMIT 25""")
 def top_words(spark, sf_dir):
     return P.top_words(canonical(spark, sf_dir), K.REAL, T.default_stop_words())
 
 
-@query("ngram_frequencies", f"""WITH {CANON},
-    t AS (SELECT doc_id, list_filter({S.vector_tokens(S.boilerplate('text'))}, lambda t: t NOT IN ({quoted(ENGLISH)})) AS k FROM canon),
+@query("ngram_frequencies", lambda: f"""WITH {CANON},
+    t AS (SELECT doc_id, list_filter({S.vector_tokens(S.boilerplate('text'))}, lambda t: t NOT IN ({quoted(S.stop_words("english"))})) AS k FROM canon),
     g AS (SELECT doc_id, unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) AS gram FROM t),
     d AS (SELECT doc_id, gram, count(*) AS tf FROM g GROUP BY ALL)
     SELECT gram, CAST(sum(tf) AS BIGINT) AS n, count(*) AS n_docs FROM d GROUP BY gram

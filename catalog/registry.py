@@ -1,6 +1,7 @@
 """Where bound queries and their reference SQL are collected."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,14 @@ def query(name: str, sql: str | Callable[[], str] | None = None):
     """Register a callable (spark, sf_dir) -> DataFrame, with the SQL it must equal if there is any."""
     def add(fn):
         assert name not in QUERIES, name
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # dates are read and shown in UTC, as the reference SQL does
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -13,7 +13,6 @@ from credence.functions import urls as U
 from credence.operators import profile as P
 from credence.operators.translation import translate, translation_misses
 
-ENGLISH = S.stop_words("english")
 PROFILE_CODES = ["de", "en", "es", "fr"]
 
 URLS = ("(SELECT 'c' || doc_id AS row_id, url FROM canon UNION ALL SELECT 'p' || page_id, url FROM pages)")
@@ -160,8 +159,8 @@ def misses(spark, sf_dir):
     return translation_misses(out, "text")
 
 
-@query("remove_stop_words", f"""SELECT doc_id, array_to_string(list_filter({S.space_tokens('text')},
-    lambda t: lower(t) NOT IN ({quoted(ENGLISH)})), ' ') AS kept FROM documents""")
+@query("remove_stop_words", lambda: f"""SELECT doc_id, array_to_string(list_filter({S.space_tokens('text')},
+    lambda t: lower(t) NOT IN ({quoted(S.stop_words("english"))})), ' ') AS kept FROM documents""")
 def remove_stop_words(spark, sf_dir):
     return T.remove_stop_words(documents(spark, sf_dir), "text", T.default_stop_words(), "kept").select("doc_id", "kept")
 

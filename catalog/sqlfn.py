@@ -12,7 +12,7 @@ from credence import constants as K
 from credence.functions.labels import folded
 
 NWS = WS.replace("[", "[^", 1)
-W_IN, S_IN = WORD[1:-1], WS[1:-1]
+W_IN, S_IN = r"\p{L}\p{N}_", WS[1:-1]
 STRIP = f"'^{WS}+|{WS}+$', '', 'g'"
 
 
@@ -125,7 +125,7 @@ def boilerplate(c):
 
 
 def vector_tokens(c):
-    return f"regexp_extract_all(lower(coalesce({c}, '')), '{WORD}{{2,}}')"
+    return f"regexp_extract_all(lower(coalesce({c}, '')), '[{W_IN}]{{2,}}')"
 
 
 def profile_hits(c, words):

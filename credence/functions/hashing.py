@@ -32,7 +32,7 @@ def mix32(state: Column) -> Column:
 
 def position_hash(seed: Column, position: Column, stream: int = 0) -> Column:
     """32-bit draw for a position of a row whose 32-bit seed is given."""
-    start = F.pmod(seed + position * F.lit(2654435) + F.lit(stream * 40503), F.lit(TWO32))
+    start = F.pmod(seed + position.cast("bigint") * F.lit(2654435) + F.lit(stream * 40503), F.lit(TWO32))
     return mix32(start)
 
 

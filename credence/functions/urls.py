@@ -12,7 +12,7 @@ URL_PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 
 def author_from_title(title: Column) -> Column:
     """Name before the first colon of a headline, else 'unknown'."""
-    name = F.regexp_extract(blank_if_null(title), r"(?U)^([\w\s\-]+):", 1)
+    name = F.regexp_extract(blank_if_null(title), r"(?U)^([\p{L}\p{N}_\s\-]+):", 1)
     name = F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
     return F.when(name == "", F.lit("unknown")).otherwise(name)
 

@@ -5,6 +5,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from credence.session import shared_root
+
 # A key is hot when it holds at least this share of the rows, so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 1 / 256
 
@@ -60,6 +62,13 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(renamed, match).drop(*[f"_k_{k}" for k in keys])
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder: a costly frame with several readers is computed once, and a
+    lost executor does not send its readers back to the source."""
+    shared_root(df.sparkSession)
+    return df.checkpoint()
+
+
 def n_buckets(df: DataFrame) -> int:
     """Ranges used to cut an order into parallel pieces."""
     return max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -89,7 +89,7 @@ def word_grams(tokens: Column, low: int, high: int) -> Column:
 
 def vector_tokens(c: Column) -> Column:
     """Lower-cased runs of two or more word characters."""
-    return F.regexp_extract_all(F.lower(T.blank_if_null(c)), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))
+    return F.regexp_extract_all(F.lower(T.blank_if_null(c)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
 def ngram_frequencies(df: DataFrame, key: str, text: str, stop_words: list[str], low: int = 2, high: int = 2,

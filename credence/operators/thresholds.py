@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from credence import constants as K
 from credence.functions.dates import age_days, bin_edges, lenient_timestamp
-from credence.operators.layout import lookup_join
+from credence.operators.layout import cut_lineage, lookup_join
 from credence.operators.metrics import cost_of
 from credence.operators.splits import stratified_split
 
@@ -152,9 +152,13 @@ def decision_summary(df: DataFrame, score: str = "p_fake", label: str = "label",
 def calibrate(df: DataFrame, key: str, context_keys: tuple[str, ...] = K.CALIBRATION_KEYS,
               min_samples: int = 100, fraction: float = 0.2, seed: int = 42,
               costs: Costs = Costs()) -> tuple[DataFrame, DataFrame]:
-    """(thresholds, validation summary) from the validation rows of a scored, featured table."""
+    """(thresholds, validation summary) from the validation rows of a scored, featured table.
+
+    The four columns the search needs are checkpointed, so the features are computed once.
+    """
     val = build_context(stratified_split(df, key, fraction=fraction, seed=seed).filter("is_val"), context_keys)
-    thresholds = search_thresholds(val, min_samples=min_samples, costs=costs)
+    val = cut_lineage(val.select(key, "label", "p_fake", "ctx"))
+    thresholds = cut_lineage(search_thresholds(val, min_samples=min_samples, costs=costs))
     return thresholds, decision_summary(apply_thresholds(val, thresholds), costs=costs)
 
 
@@ -163,6 +167,7 @@ def eval_with_thresholds(df: DataFrame, thresholds: DataFrame, key: str,
                          fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Apply stored thresholds to the validation rows and summarise."""
     val = build_context(stratified_split(df, key, fraction=fraction, seed=seed).filter("is_val"), context_keys)
+    val = cut_lineage(val.select(key, "label", "p_fake", "ctx"))
     return decision_summary(apply_thresholds(val, thresholds)).drop("reward_estimate")
 
 

@@ -8,7 +8,6 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.session import shared_root
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -56,12 +55,6 @@ def materialize_once(spark: SparkSession, path: str, build: Callable[[], DataFra
     return spark.read.parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder, so that a lost executor costs no recomputation."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
-
-
 def run_path(base: str) -> str:
     """A time-stamped run folder."""
     return f"{base.rstrip('/')}/run_{datetime.now(timezone.utc).strftime('%Y%m%d-%H%M%S-%f')}"
