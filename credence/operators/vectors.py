@@ -163,6 +163,13 @@ def hashed_embedding(df: DataFrame, key: str, text: str, dims: int = 64) -> Data
     return sums.select(key, "dim", (F.col("v") / length).alias("value"))
 
 
+def dense(slots: DataFrame, keys: DataFrame, key: str, dims: int, out: str = "embedding") -> DataFrame:
+    """(key, dim, value) rows as one array of fixed length per row of keys; missing slots are 0."""
+    maps = slots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("_map"))
+    value = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("_map", i), F.lit(0.0)))
+    return keys.join(maps, key, "left").withColumn(out, value).drop("_map")
+
+
 def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
     """Scale an array column to unit length; a zero vector stays."""
     wide = F.transform(F.col(vector), lambda x: x.cast("double"))
