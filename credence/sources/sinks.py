@@ -15,8 +15,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",", header: bool = True) -> None:
+    """CSV that the readers take back unchanged: spaces at the ends stay, null and '' differ."""
+    (df.write.mode(mode).option("header", header).option("sep", sep).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def prediction_record(text: Column, result: Column) -> list[Column]:
