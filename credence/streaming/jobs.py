@@ -72,7 +72,7 @@ def stream_fit(stream: DataFrame, state: str, checkpoint: str,
     """
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{state}/version-{number - 1}"
+        before = f"{state}/version={number - 1}"
         if path_exists(spark, before):
             coefficients = spark.read.parquet(before)
             bias = coefficients.filter("term IS NULL").first()["coef"]
@@ -81,7 +81,7 @@ def stream_fit(stream: DataFrame, state: str, checkpoint: str,
             coefficients, bias = start()
         coefficients, bias = step(coefficients, bias, batch)
         row = spark.createDataFrame([(None, float(bias))], "term string, coef double")
-        coefficients.select("term", "coef").unionByName(row).write.mode("overwrite").parquet(f"{state}/version-{number}")
+        coefficients.select("term", "coef").unionByName(row).write.mode("overwrite").parquet(f"{state}/version={number}")
     each_batch(stream, checkpoint, work)
 
 
@@ -92,7 +92,7 @@ def stream_arm_values(stream: DataFrame, state: str, checkpoint: str, arm: str,
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = arm_values(batch, arm, order, key, reward, alpha)
-        before = f"{state}/version-{number - 1}"
+        before = f"{state}/version={number - 1}"
         if path_exists(spark, before):
             old = spark.read.parquet(before).select(arm, F.col("value").alias("_v"), F.col("n").alias("_n"))
             both = old.join(fresh, arm, "full")
@@ -101,12 +101,15 @@ def stream_arm_values(stream: DataFrame, state: str, checkpoint: str, arm: str,
                 arm,
                 (F.coalesce("_v", F.lit(0.0)) * F.pow(F.lit(1 - alpha), F.coalesce("n", zero)) + F.coalesce("value", F.lit(0.0))).alias("value"),
                 (F.coalesce("_n", zero) + F.coalesce("n", zero)).alias("n"))
-        fresh.write.mode("overwrite").parquet(f"{state}/version-{number}")
+        fresh.write.mode("overwrite").parquet(f"{state}/version={number}")
     each_batch(stream, checkpoint, work)
 
 
-def latest_version(spark: SparkSession, state: str, number: int) -> DataFrame:
-    return spark.read.parquet(f"{state}/version-{number}")
+def latest_version(spark: SparkSession, state: str) -> DataFrame:
+    """The newest version of a state table; older ones are pruned by their partition."""
+    versions = spark.read.parquet(state)
+    newest = versions.select("version").agg(F.max("version")).scalar()
+    return versions.filter(F.col("version") == newest).drop("version")
 
 
 def monitor(log: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
