@@ -66,11 +66,18 @@ def may_contain(c: Column, phrases: list[str]) -> Column:
 
     The long s and the Kelvin sign fold to s and k but do not lower-case to them.
     """
-    low = F.lower(c)
-    hit = F.contains(c, F.lit("\u017f")) | F.contains(c, F.lit("\u212a"))
-    for phrase in phrases:
-        hit = hit | F.contains(low, F.lit(phrase.lower()))
-    return hit
+    def hit(low: Column) -> Column:
+        found = F.contains(c, F.lit("\u017f")) | F.contains(c, F.lit("\u212a"))
+        for phrase in phrases:
+            found = found | F.contains(low, F.lit(phrase.lower()))
+        return found
+    # the one-element transform lower-cases a text once for all phrases
+    return F.transform(F.array(F.lower(c)), hit)[0]
+
+
+def sign_count(c: Column, signs: str) -> Column:
+    """How many of a few given characters there are, by plain byte search."""
+    return sum((F.length(c) - F.length(F.replace(c, F.lit(s), F.lit(""))) for s in signs), F.lit(0))
 
 
 def char_count(c: Column, char_class: str) -> Column:

@@ -42,8 +42,10 @@ def ratio(a: str | Column, b: str | Column) -> Column:
     return a / F.greatest(b, F.lit(1))
 
 
-def jaccard(a: str, b: str) -> Column:
-    return ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+def jaccard(a: str, b: str, n_a: str, n_b: str) -> Column:
+    """Shared over all distinct tokens; the union's size follows from the distinct counts at hand."""
+    shared = F.array(F.size(F.array_intersect(a, b)))
+    return F.transform(shared, lambda s: ratio(s, F.col(n_a) + F.col(n_b) - s))[0]
 
 
 def mean_length(tokens: str, count: str) -> Column:
@@ -74,15 +76,15 @@ def surface_counts(df: DataFrame) -> DataFrame:
         "text_n_tokens": F.size("text_tokens"),
         "title_n_unique": F.size(F.array_distinct("title_tokens")),
         "text_n_unique": F.size(F.array_distinct("text_tokens")),
-        "title_exc_qm": T.char_count(title, "!?"),
-        "text_exc_qm": T.char_count(text, "!?"),
+        "title_exc_qm": T.sign_count(title, "!?"),
+        "text_exc_qm": T.sign_count(text, "!?"),
         "text_ellipsis": T.guarded_count(text, r"\.\.\.+", ["..."]),
         "text_multi_exclaim": T.guarded_count(text, r"!!+", ["!!"]),
         "text_multi_qmark": T.guarded_count(text, r"\?\?+", ["??"]),
         "text_char_repeat_3plus": T.match_count(text, r"(?s)(.)\1\1+"),
         "text_n_digits": T.char_count(text, r"\p{Nd}"),
         "text_n_numbers": T.match_count(text, K.NUMBER_PATTERN),
-        "text_currency": T.char_count(text, K.CURRENCY_SIGNS),
+        "text_currency": T.sign_count(text, K.CURRENCY_SIGNS),
         "text_url_count": T.guarded_count(text, K.URL_PATTERN, ["http", "www."]),
         "text_email_count": T.guarded_count(text, K.EMAIL_PATTERN, ["@"]),
         "title_clickbait_hits": T.clickbait_count(title),
@@ -107,7 +109,7 @@ def surface_ratios(df: DataFrame) -> DataFrame:
         "text_digit_char_ratio": ratio("text_n_digits", "text_n_chars"),
         "text_number_token_ratio": ratio("text_n_numbers", "text_n_tokens"),
         "text_exclaim_qm_per_token": ratio("text_exc_qm", "text_n_tokens"),
-        "title_text_jaccard": jaccard("title_tokens", "text_tokens"),
+        "title_text_jaccard": jaccard("title_tokens", "text_tokens", "title_n_unique", "text_n_unique"),
         "text_avg_word_len": mean_length("text_tokens", "text_n_tokens"),
         "title_avg_word_len": mean_length("title_tokens", "title_n_tokens"),
     })
@@ -125,11 +127,12 @@ def without_stop_words(df: DataFrame, stop_words: list[str] = STOP_WORDS) -> Dat
             "text_n_tokens_ns": F.size("text_tokens_ns"),
             "title_n_unique_ns": F.size(F.array_distinct("title_tokens_ns")),
             "text_n_unique_ns": F.size(F.array_distinct("text_tokens_ns")),
-            "title_text_jaccard_ns": jaccard("title_tokens_ns", "text_tokens_ns"),
             "title_ns_text": F.array_join("title_tokens_ns", " "),
             "text_ns_text": F.array_join("text_tokens_ns", " "),
         })
         .withColumns({
+            "title_text_jaccard_ns": jaccard(
+                "title_tokens_ns", "text_tokens_ns", "title_n_unique_ns", "text_n_unique_ns"),
             "title_ttr_ns": ratio("title_n_unique_ns", "title_n_tokens_ns"),
             "text_ttr_ns": ratio("text_n_unique_ns", "text_n_tokens_ns"),
             "text_stopword_ratio": 1 - ratio("text_n_tokens_ns", "text_n_tokens"),
