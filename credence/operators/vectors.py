@@ -43,18 +43,25 @@ def word_terms(df: DataFrame, key: str, text: str, low: int = 1, high: int = 2)
 
 
 def char_terms(df: DataFrame, key: str, text: str, low: int = 3, high: int = 5) -> DataFrame:
-    """(key, term) rows of character n-grams inside space-padded words; a short word counts once."""
-    words = F.expr(f"transform(filter(split(lower({text}), '(?U)\\\\s+'), w -> w <> ''), w -> concat(' ', w, ' '))")
+    """(key, term, n) rows of character n-grams inside space-padded words; a short word counts once.
+
+    A document's words are counted first (they already lie together), so the many n-grams of a word
+    are spelled out once per document, with the word's count as n.
+    """
+    rows = by_document(df.select(key, F.coalesce(text, F.lit("")).alias(text)), key)
+    split = F.explode(F.split(F.lower(text), r"(?U)\s+")).alias("w")
+    words = rows.select(key, split).filter(F.col("w") != "").groupBy(key, "w").agg(F.count("*").alias("n"))
+    padded = words.select(key, F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"), "n")
     grams = ", ".join(
-        f"flatten(transform(filter(words, w -> length(w) > {n}), "
-        f"w -> transform(sequence(1, length(w) - {n - 1}), i -> substring(w, i, {n}))))" for n in range(low, high + 1))
-    whole = f"filter(words, w -> length(w) <= {high})"
-    rows = by_document(df.select(key, F.coalesce(text, F.lit("")).alias(text)), key).select(key, words.alias("words"))
-    return rows.select(key, F.explode(F.expr(f"concat({grams}, {whole})")).alias("term"))
+        f"CASE WHEN length(w) > {n} THEN transform(sequence(1, length(w) - {n - 1}), i -> substring(w, i, {n})) "
+        "ELSE array() END" for n in range(low, high + 1))
+    whole = f"CASE WHEN length(w) <= {high} THEN array(w) ELSE array() END"
+    return padded.select(key, F.explode(F.expr(f"concat({grams}, {whole})")).alias("term"), "n")
 
 
 def term_counts(terms: DataFrame, key: str) -> DataFrame:
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    times = F.sum("n") if "n" in terms.columns else F.count("*")
+    return terms.groupBy(key, "term").agg(times.alias("tf"))
 
 
 def fit_vocabulary(counts: DataFrame, n_docs: Column, min_df: int = 5, max_features: int | None = None) -> DataFrame:
@@ -68,13 +75,28 @@ def fit_vocabulary(counts: DataFrame, n_docs: Column, min_df: int = 5, max_featu
 
 def weigh(counts: DataFrame, vocabulary: DataFrame, key: str, max_features: int | None = None) -> DataFrame:
     """(1 + ln tf) * idf per known term, scaled to unit length per document."""
+    return _unit_weights(counts.join(_known(vocabulary, max_features), "term"), key)
+
+
+def weigh_terms(terms: DataFrame, vocabulary: DataFrame, key: str, max_features: int | None = None) -> DataFrame:
+    """The same from uncounted terms: most n-grams are rare, so unknown ones leave before the count."""
+    if max_features is None or max_features > BROADCAST_TERMS:
+        return weigh(term_counts(terms, key), vocabulary, key, max_features)
+    times = F.sum("n") if "n" in terms.columns else F.count("*")
+    kept = terms.join(_known(vocabulary, max_features), "term").groupBy(key, "term", "idf").agg(times.alias("tf"))
+    return _unit_weights(kept, key)
+
+
+def _known(vocabulary: DataFrame, max_features: int | None) -> DataFrame:
+    """Terms and idf, broadcast only when the cap proves them small."""
     known = vocabulary.select("term", "idf")
-    if max_features is not None and max_features <= BROADCAST_TERMS:
-        known = F.broadcast(known)
+    return F.broadcast(known) if max_features is not None and max_features <= BROADCAST_TERMS else known
+
+
+def _unit_weights(counted: DataFrame, key: str) -> DataFrame:
     raw = (1 + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    weighed = counts.join(known, "term").select(key, "term", raw.alias("_w"))
-    document = Window.partitionBy(key)
-    return weighed.select(key, "term", (F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(document))).alias("weight"))
+    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+    return counted.select(key, "term", raw.alias("_w")).select(key, "term", (F.col("_w") / length).alias("weight"))
 
 
 def tfidf(terms: DataFrame, docs: DataFrame, key: str, min_df: int = 5,
@@ -82,7 +104,7 @@ def tfidf(terms: DataFrame, docs: DataFrame, key: str, min_df: int = 5,
     """(weights, vocabulary) of a corpus; docs gives the number of documents, empty ones included."""
     counts = term_counts(terms, key)
     vocabulary = fit_vocabulary(counts, docs.agg(F.count("*")).scalar(), min_df, max_features)
-    return weigh(counts, vocabulary, key, max_features), vocabulary
+    return weigh_terms(terms, vocabulary, key, max_features), vocabulary
 
 
 def tfidf_word(df: DataFrame, key: str, text: str, high: int = 2, **kw) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +118,7 @@ def tfidf_char(df: DataFrame, key: str, text: str, low: int = 3, high: int = 5,
 def transform(df: DataFrame, vocabulary: DataFrame, key: str, text: str, high: int = 2,
               max_features: int | None = 200_000) -> DataFrame:
     """Weights of new texts under a fitted vocabulary."""
-    return weigh(term_counts(word_terms(df, key, text, 1, high), key), vocabulary, key, max_features)
+    return weigh_terms(word_terms(df, key, text, 1, high), vocabulary, key, max_features)
 
 
 def concat_blocks(blocks: dict[str, DataFrame]) -> DataFrame:
