@@ -70,9 +70,9 @@ def fit_embedding_logit(spark, sf_dir):
 
 def char_vectors(spark, sf_dir):
     df = labelled(spark, sf_dir)
-    weights, vocabulary = V.tfidf_char(df, "doc_id", "mt", 3, 5, max_features=2000)
+    weights, vocabulary = V.tfidf_char(df, "doc_id", "mt", 3, 5, max_features=1000)
     vocabulary = cut_lineage(vocabulary)
-    return V.to_vectors(weights, V.term_index(vocabulary, 2000), df.select("doc_id", "label"), "doc_id", vocabulary.count())
+    return V.to_vectors(weights, V.term_index(vocabulary, 1000), df.select("doc_id", "label"), "doc_id", vocabulary.count())
 
 
 @query("fit_calibrated_svm")
