@@ -36,13 +36,11 @@ def shared_root(spark: SparkSession) -> str:
 
     Only a session without that setting (local tests) gets a folder of its own.
     """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="credence-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="credence-"))
+    return (configured or context.getCheckpointDir()).rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
