@@ -9,6 +9,8 @@ from credence.session import shared_root
 
 # A key is hot when it holds at least this share of the rows, so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 1 / 256
+# Longest term or coefficient table that is sent to every task: a few tens of MB.
+BROADCAST_ROWS = 500_000
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -53,6 +55,16 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | No
         *kept, *[F.coalesce(F.col("_hot")[v], F.col("_cold")[v]).alias(v) for v in values])
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a (stored or cheap) table has at most `rows` rows; counting stops there."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint after a look at the size; a larger table is left to an ordinary join."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner equi-join that also matches null keys, with the keys once in the result."""
     renamed = right.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in right.columns])

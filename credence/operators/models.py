@@ -25,7 +25,7 @@ from credence.operators import augment as A
 from credence.operators import metrics as M
 from credence.operators import splits as G
 from credence.operators import vectors as V
-from credence.operators.layout import cut_lineage
+from credence.operators.layout import broadcast_if_small, cut_lineage
 from credence.operators.scoring import linear_margin, sigmoid
 
 
@@ -90,7 +90,7 @@ def score_terms(model: TermModel, df: DataFrame, key: str, text: str) -> DataFra
 def sgd_step(coefficients: DataFrame, bias: float, weights: DataFrame, labels: DataFrame, key: str,
              rate: float, alpha: float = 1e-5) -> tuple[DataFrame, float]:
     """One log-loss gradient step towards FAKE: margins by document, gradient by term, both plain aggregates."""
-    joined = weights.join(F.broadcast(coefficients), "term", "left")
+    joined = weights.join(broadcast_if_small(coefficients), "term", "left")
     margins = joined.groupBy(key).agg(F.sum(F.col("weight") * F.coalesce("coef", F.lit(0.0))).alias("_m"))
     error = labels.join(margins, key, "left").select(
         key, (F.col("weight") * (sigmoid(F.coalesce("_m", F.lit(0.0)) + F.lit(bias))

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence import constants as K
+from credence.operators.layout import broadcast_if_small
 
 
 def verdict(p_fake: Column, threshold: float = 0.5) -> Column:
@@ -23,10 +24,10 @@ def linear_margin(weights: DataFrame, coefficients: DataFrame, keys: DataFrame,
                   intercept: float) -> DataFrame:
     """Margin towards FAKE per document: sum of weight * coefficient; documents without terms get the intercept.
 
-    `coefficients` is limited by the vocabulary cap, hence broadcast.
+    `coefficients` is a stored table; it is broadcast when it is short enough.
     """
     sums = (
-        weights.join(F.broadcast(coefficients.select("term", "coef")), "term")
+        weights.join(broadcast_if_small(coefficients.select("term", "coef")), "term")
         .groupBy(key).agg(F.sum(F.col("weight") * F.col("coef")).alias("_sum"))
     )
     return keys.select(key).join(sums, key, "left").select(

@@ -15,11 +15,9 @@ from pyspark.sql import types as T
 
 from credence.functions.hashing import hash32
 from credence.functions.text import blank_if_null
+from credence.operators.layout import BROADCAST_ROWS, broadcast_if_small
 from credence.operators.profile import vector_tokens, word_grams
 
-# Largest vocabulary that is sent to every task (a few tens of MB); larger ones are joined by shuffle.
-BROADCAST_TERMS = 500_000
-
 
 def model_text(df: DataFrame, prefer: tuple[str, ...] = ("titleplus_text_ns", "title_ns_text", "text_ns_text")) -> Column:
     """The first prepared text column there is, else title [SEP] text."""
@@ -80,7 +78,7 @@ def weigh(counts: DataFrame, vocabulary: DataFrame, key: str, max_features: int
 
 def weigh_terms(terms: DataFrame, vocabulary: DataFrame, key: str, max_features: int | None = None) -> DataFrame:
     """The same from uncounted terms: most n-grams are rare, so unknown ones leave before the count."""
-    if max_features is None or max_features > BROADCAST_TERMS:
+    if max_features is None or max_features > BROADCAST_ROWS:
         return weigh(term_counts(terms, key), vocabulary, key, max_features)
     times = F.sum("n") if "n" in terms.columns else F.count("*")
     kept = terms.join(_known(vocabulary, max_features), "term").groupBy(key, "term", "idf").agg(times.alias("tf"))
@@ -90,7 +88,7 @@ def weigh_terms(terms: DataFrame, vocabulary: DataFrame, key: str, max_features:
 def _known(vocabulary: DataFrame, max_features: int | None) -> DataFrame:
     """Terms and idf, broadcast only when the cap proves them small."""
     known = vocabulary.select("term", "idf")
-    return F.broadcast(known) if max_features is not None and max_features <= BROADCAST_TERMS else known
+    return F.broadcast(known) if max_features is not None and max_features <= BROADCAST_ROWS else known
 
 
 def _unit_weights(counted: DataFrame, key: str) -> DataFrame:
@@ -168,7 +166,7 @@ def to_vectors(weights: DataFrame, index: DataFrame, keys: DataFrame, key: str,
         return SparseVector(size, [(c["index"], c["weight"]) for c in cells or []])
 
     cells = (
-        weights.join(F.broadcast(index), "term")
+        weights.join(broadcast_if_small(index), "term")
         .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("_cells"))
     )
     return keys.join(cells, key, "left").withColumn(out, sparse("_cells")).drop("_cells")
