@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog.evaluation import evaluated
-from catalog.fixtures import canonical, scored, table
+from catalog.fixtures import CANON, canonical, scored, table
 from catalog.profile import prediction_log
 from catalog.registry import query, r6, r6s
 from credence.functions.hashing import uniform
@@ -190,7 +190,10 @@ def impute_codes_report(spark, sf_dir):
     return evaluated(MD.impute_codes(coded(spark, sf_dir), "doc_id", "category", ["title", "text"], ["source", "type"], trees=10)[2])
 
 
-@query("categorical_encode")
+@query("categorical_encode", f"""WITH {CANON}, c AS (SELECT doc_id, coalesce(category, 'unknown') AS category FROM canon),
+    r AS (SELECT doc_id, category, CAST(dense_rank() OVER (ORDER BY category) - 1 AS INTEGER) AS index FROM c)
+    SELECT doc_id, category, index, array_to_string(list_transform(range((SELECT count(DISTINCT category) FROM c)),
+      lambda i: CASE WHEN i = index THEN '1' ELSE '0' END), ',') AS hot FROM r""")
 def categorical_encode(spark, sf_dir):
     df = canonical(spark, sf_dir).select("doc_id", F.coalesce("category", F.lit("unknown")).alias("category"))
     indexed = StringIndexer(inputCol="category", outputCol="index", handleInvalid="keep", stringOrderType="alphabetAsc").fit(df).transform(df)

@@ -193,7 +193,7 @@ def truncated_svd(rows: DataFrame, key: str, k: int, features: str = "features")
 
     The (vocabulary cap x k) matrix is the only thing the driver holds.
     """
-    spark = rows.sparkSession
+    spark, rows = rows.sparkSession, cut_lineage(rows.select(key, features))
     matrix = RowMatrix(rows.select(features).rdd.map(lambda r: OldVectors.fromML(r[0])))
     svd = matrix.computeSVD(k, computeU=False)
     right = svd.V.toArray()
