@@ -8,6 +8,7 @@ Row-local: one narrow map, no shuffle; any row is judged alone, whatever table i
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,8 +136,6 @@ def keep_good(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
 
 
 def _verdicts(limits):
-    import pandas as pd
-
     def kept(texts: pd.Series) -> pd.Series:
         return pd.Series(statistics(["" if t is None else t for t in texts.tolist()], **limits)["kept"], dtype=bool)
     return kept
