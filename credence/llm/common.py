@@ -12,9 +12,12 @@ from credence.session import work_path
 
 # Characters of text that one step of Python work holds at a time.
 STEP_CHARS = 2_000_000
+# Rows of an Arrow batch to a Python worker: whole texts can be long, so the default of 10 000 rows is too many.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,6 +29,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, unless its user has set their size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_steps(batches: Iterator[pd.DataFrame], column: str = "text") -> Iterator[tuple[pd.DataFrame, list[str]]]:
     """Slices of the batches with their texts (null: empty), cut so that few characters are held at once."""
     for batch in batches:
@@ -47,6 +57,7 @@ def map_texts(df: DataFrame, keep: list[str], schema: str, work: Callable[[list[
             made = work(texts)
             yield pd.DataFrame(out | {k: pd.Series(v, index=rows.index) for k, v in made.items()})
 
+    small_batches(df.sparkSession)
     return df.select(*keep, F.col(text).alias("_text")).mapInPandas(run, schema)
 
 

@@ -15,7 +15,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMORY = 800_000
+MEMORY = 300_000
 LONG_PIECE = 256
 STEP = 1_000_000  # characters whose pieces are held at once
 

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import crc32_bucket, map_texts, stored
+from credence.llm.common import crc32_bucket, map_texts, small_batches, stored
 
 FEATURES = ("words", "word_length", "upper", "digits", "closing", "symbols", "bars", "shouts", "lines", "spread",
             "packing", "entropy", "repeats")
@@ -213,6 +213,7 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows scored at least `threshold`, with all their columns; fitted on the labelled rows among `docs`."""
     model = fit_on(docs, labels, text)
+    small_batches(docs.sparkSession)
     score = F.pandas_udf(lambda t: pd.Series(
         model.score(document_statistics(["" if x is None else x for x in t.tolist()])), dtype=float), "double")
     return docs.filter(score(F.col(text)) >= threshold)

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import map_texts
+from credence.llm.common import map_texts, small_batches
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -131,6 +131,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", **li
 
 def keep_good(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The rows that pass, with all their columns: the verdict is a filter in the scan's own stage."""
+    small_batches(docs.sparkSession)
     verdict = F.pandas_udf(_verdicts(limits), "boolean")
     return docs.filter(verdict(F.col(text)))
 

@@ -237,6 +237,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = cut_lineage(rooted)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = cut_lineage(least)  # else its grouping and the join share an exchange that Spark cannot split
     named = rooted.join(least, "root").select("fp", "component_id", "root")
     return rows.join(named, "fp").select("doc_id", hex16("fp").alias("fingerprint"), "component_id", "fp", "root")
 
