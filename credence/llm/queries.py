@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from credence.llm import packing, quality_classifier, quality_rules, simhash
+from credence.llm import packing, quality_classifier, quality_rules, simhash, token_files, warc
 from credence.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +33,33 @@ def op1(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+# base 32 of a SHA-1: its 160 bits in fives, by string functions
+_BITS = ", ".join(f"'{i:04b}'" for i in range(16))
+_B32 = f"""array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  (1 + list_sum(list_transform(range(0, 5), lambda j: (CAST(substr(bits, i * 5 + j + 1, 1) AS BIGINT) << (4 - j)))))::BIGINT, 1)), '')"""
+
+
+@query("op4_warc", f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex,
+             row_number() OVER (PARTITION BY body ORDER BY page_id DESC) AS place,
+             max(page_id) OVER (PARTITION BY body) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(string_split(hex, ''), lambda c: [{_BITS}][instr('0123456789abcdef', c)]), '') AS bits FROM h)
+SELECT page_id, payload_bytes, {_B32} AS payload_digest,
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN first END AS refers_to
+FROM b""")
+def op4(spark, sf):
+    return warc.archive(table(spark, sf, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_token_binary")
+def op7(spark, sf):
+    back = token_files.round_trip(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op5_quality_classifier")
 def op5(spark, sf):
     return quality_classifier.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
