@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import packing, quality_classifier, quality_rules, simhash, token_files, warc
+from credence.llm import bpe, packing, quality_classifier, quality_rules, simhash, token_files, warc
 from credence.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,14 @@ def op1(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query("op2_bpe")
+def op2(spark, sf):
+    path = vocabulary("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf, "documents"), path), path)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 # base 32 of a SHA-1: its 160 bits in fives, by string functions
 _BITS = ", ".join(f"'{i:04b}'" for i in range(16))
 _B32 = f"""array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
