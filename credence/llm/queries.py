@@ -6,7 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import bpe, packing, quality_classifier, quality_rules, simhash, token_files, warc
+from credence.llm import (
+    bpe, language_id, nearest, packing, quality_classifier, quality_rules, simhash, token_files, toxicity, warc,
+)
 from credence.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +43,11 @@ def op2(spark, sf):
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query("op3_nearest_neighbours")
+def op3(spark, sf):
+    return nearest.search(table(spark, sf, "embeddings"))
+
+
 # base 32 of a SHA-1: its 160 bits in fives, by string functions
 _BITS = ", ".join(f"'{i:04b}'" for i in range(16))
 _B32 = f"""array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
@@ -62,6 +69,17 @@ def op4(spark, sf):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op6_language_id")
+def op6(spark, sf):
+    return language_id.identify(table(spark, sf, "documents"))
+
+
+@query("op9_toxicity")
+def op9(spark, sf):
+    scored = toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("evidence").alias("n_neighbours"))
+
+
 @query("op7_token_binary")
 def op7(spark, sf):
     back = token_files.round_trip(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
