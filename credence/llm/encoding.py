@@ -15,17 +15,18 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMORY = 300_000
+MEMORY = {"byte": 1_000_000, "word": 300_000}  # about 200 bytes each
 LONG_PIECE = 256
 STEP = 1_000_000  # characters whose pieces are held at once
 
-# Latin-1 members of the classes in the tokenizers' patterns (letters, numbers, white space): fixed values.
+# Words come first in the patterns, which changes nothing as no other alternative starts with a letter or with a
+# blank and a letter. Latin-1 members of the classes in the tokenizers' patterns (letters, numbers, white space): fixed values.
 L, N, S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
 PIECES = {
     # byte-level: pieces keep their leading blank
-    "byte": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"),
+    "byte": re.compile(f" ?[{L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"),
     # word ends: lower-cased, white space dropped
-    "word": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"),
+    "word": re.compile(f"[{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{N}]|[^{S}{L}{N}]+"),
 }
 
 
@@ -43,6 +44,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.memory = MEMORY[kind]
         self.pattern, self.lower = PIECES[kind], kind == "word"
         self.special = [str(t.content) for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
@@ -62,7 +64,8 @@ class Encoder:
         return self.pattern.findall(text.lower() if self.lower else text)
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        get, open_, parts, whole = self.known.get, [], [], []
+        get, parts, whole = self.known.get, [], []
+        holders, places, missing = [], [], []
         for text in texts:
             found = self.pieces(text)
             parts.append(found if found is None else list(map(get, found)))
@@ -72,12 +75,14 @@ class Encoder:
                 ids, i = parts[-1], -1
                 for _ in range(ids.count(None)):
                     i = ids.index(None, i + 1)
-                    open_.append((ids, i, found[i]))
-        new = list({p for _, _, p in open_})
+                    holders.append(ids)
+                    places.append(i)
+                    missing.append(found[i])
+        new = list(set(missing))
         made = dict(zip(new, self.by_library(new)))
-        for ids, i, p in open_:
+        for ids, i, p in zip(holders, places, missing):
             ids[i] = made[p]
-        if len(self.known) + len(made) <= MEMORY:
+        if len(self.known) + len(made) <= self.memory:
             self.known.update((p, x) for p, x in made.items() if len(p) <= LONG_PIECE)
         rest = iter(self.by_library(whole))
         return [next(rest) if ids is None else b"".join(ids) for ids in parts]
