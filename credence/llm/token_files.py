@@ -11,6 +11,7 @@ rank, unsigned 32-bit.
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -58,16 +59,22 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+@lru_cache(1)
+def _zstd():
+    """One compressor and decompressor per worker process."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _shrink(ids: bytes) -> bytes:
     """Ids between the passes: 16 bits each where they fit, packed."""
     wide = np.frombuffer(ids, "<u4")
     small = len(wide) == 0 or int(wide.max()) < 65536
     body = wide.astype("<u2").tobytes() if small else ids
-    return (b"\2" if small else b"\4") + zstandard.compress(body, 1)
+    return (b"\2" if small else b"\4") + _zstd()[0].compress(body)
 
 
 def _grow(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob[1:]), "<u2" if blob[:1] == b"\2" else "<u4").astype("<u4")
+    return np.frombuffer(_zstd()[1].decompress(blob[1:]), "<u2" if blob[:1] == b"\2" else "<u4").astype("<u4")
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -87,8 +94,8 @@ def rank_order(ids: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(0, np.int64)
         for pdf in batches:
-            for blob in pdf["blob"]:
-                n = np.bincount(_grow(bytes(blob)))
+            if len(pdf):
+                n = np.bincount(np.concatenate([_grow(bytes(x)) for x in pdf["blob"]]))
                 if len(n) > len(total):
                     n, total = total, n
                 total[:len(n)] += n
