@@ -14,6 +14,7 @@ from credence.session import work_path
 STEP_CHARS = 2_000_000
 # Rows of an Arrow batch to a Python worker: whole texts can be long, so the default of 10 000 rows is too many.
 BATCH_ROWS = 500
+BATCH_BYTES = "32m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,7 @@ def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def text_steps(batches: Iterator[pd.DataFrame], column: str = "text") -> Iterator[tuple[pd.DataFrame, list[str]]]:

@@ -16,19 +16,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from credence.llm.common import stored
+from credence.llm.common import small_batches, stored
 
 K = 10
 SAMPLE = 40_000        # vectors that the centroids are fitted on
 LIST_SIZE = 200        # distinct vectors aimed at in a list
 MOST_CENTROIDS = 4096
 REPLICAS = 4           # lists of a vector at most
-BOUNDARY = 1.15        # a list takes a vector within this ratio of its nearest centroid's distance
-PROBE = 1.6            # a query takes lists within this ratio of the nearest centroid's distance
+BOUNDARY = 1.05        # a list takes a vector within this ratio of its nearest centroid's distance
+PROBE = 1.1            # a query takes lists within this ratio of the nearest centroid's distance
 LEAST_LISTS = 8        # and this many at least
 EF = 96                # breadth of the graph walk
 DEGREE = 16
-BLOCK_VECTORS = 512
+BLOCK_VECTORS = 2048
 BLOCK_QUERIES = 128
 
 
@@ -134,6 +134,7 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k
     all that a result can hold. No usable vectors: empty result.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     out = "query_id long, rank int, vec_id long, score double"
     rows = stored(usable(vectors, key, vector), "vectors")
     order = Window.partitionBy("v").orderBy("vec_id")  # only k + 1 rows of a vector leave each task
@@ -205,7 +206,10 @@ def search(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k
                     i, d = every[other], d[other]
                     first = np.lexsort((i, d))[:k]
                     got += zip([q["vec_id"]] * len(first), i[first].tolist(), d[first].tolist())
-            yield pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
+            # of a batch, each query keeps its k nearest: less to shuffle, and no more could be returned
+            found = pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).sort_values(["query_id", "score", "vec_id"])
+            found = found.drop_duplicates(["query_id", "vec_id"])
+            yield found[found.groupby("query_id").cumcount() < k]
 
     pairs = asks.join(packed, "list").select("members", "queries").mapInPandas(compare, "query_id long, vec_id long, score double")
     best = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
