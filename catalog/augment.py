@@ -58,7 +58,7 @@ def homoglyph_sql(c, seed, p=0.05):
 def nikud_sql(c, seed, p=0.05):
     bare = f"regexp_replace({c}, '[\\x{{0591}}-\\x{{05C7}}]', '', 'g')"
     return (f"array_to_string(list_transform(string_split({bare}, ''), lambda ch, i: CASE WHEN regexp_full_match(ch, '{S.WS}') "
-            f"AND {u_sql(seed, '(i - 1)')} < {d(p)} THEN ch || ch ELSE ch END), '')")
+            f"AND {u_sql(seed, '(i - 1)')} < {d(p)} / 2 THEN ch || ch ELSE ch END), '')")
 
 
 NOISE_SQL = {"keyboard_typos": typos_sql, "punct_burst": burst_sql, "emoji": emoji_sql,

@@ -91,7 +91,7 @@ def label_distribution(spark, sf_dir):
 
 
 _TEXT = "html"
-for _p in ("(?s)<!--.*?-->", B.HIDDEN_ELEMENTS, B.TAGS):
+for _p in ("(?s)<!--.*?-->", *B.HIDDEN_ELEMENTS, B.TAGS):
     _TEXT = f"regexp_replace({_TEXT}, '{_p}', ' ', 'g')"
 for _k, _v in B.ENTITIES.items():
     _TEXT = f"replace({_TEXT}, '{_k}', '{_v.replace(chr(39), chr(39) * 2)}')"

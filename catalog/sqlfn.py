@@ -1,15 +1,11 @@
 """DuckDB spellings of the scalar functions."""
 from __future__ import annotations
 
-import pathlib
-import zipfile
-
-import pyspark
-
 from catalog.features import WORD, WS
 from catalog.registry import quoted
 from credence import constants as K
 from credence.functions.labels import folded
+from credence.functions.text import default_stop_words
 
 NWS = WS.replace("[", "[^", 1)
 W_IN, S_IN = r"\p{L}\p{N}_", WS[1:-1]
@@ -17,12 +13,7 @@ STRIP = f"'^{WS}+|{WS}+$', '', 'g'"
 
 
 def stop_words(language: str) -> list[str]:
-    """The stop-word file that ships with Spark's MLlib, read without a JVM."""
-    jars = pathlib.Path(pyspark.__file__).parent / "jars"
-    jar = next(jars.glob("spark-mllib_2*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    return [w for w in raw.split("\n") if w.strip()]
+    return default_stop_words(language)
 
 
 def author(c):

@@ -17,7 +17,8 @@ from credence.operators.layout import cut_lineage
 from credence.operators.translation import translate
 
 MT = "coalesce(title, '') || ' [SEP] ' || coalesce(text, '')"
-N_TERMS = 20_000
+N_TERMS = 200_000
+N_CHAR_TERMS = 150_000
 
 
 def texts(spark, sf_dir):
@@ -70,9 +71,9 @@ def char_sql(low: int, high: int) -> str:
             f"unnest(flatten([{grams}, list_filter(ws, lambda w: length(w) <= {high})])) AS term FROM wrd)")
 
 
-@query("tfidf_char", f"WITH {CANON}, {char_sql(3, 5)}, {tfidf_sql(5, 2000)} SELECT doc_id, term, {r6s('weight')} AS weight FROM wts")
+@query("tfidf_char", f"WITH {CANON}, {char_sql(3, 5)}, {tfidf_sql(5, N_CHAR_TERMS)} SELECT doc_id, term, {r6s('weight')} AS weight FROM wts")
 def tfidf_char(spark, sf_dir):
-    return V.tfidf_char(texts(spark, sf_dir), "doc_id", "mt", 3, 5, max_features=2000)[0].withColumn("weight", r6("weight"))
+    return V.tfidf_char(texts(spark, sf_dir), "doc_id", "mt", 3, 5, max_features=N_CHAR_TERMS)[0].withColumn("weight", r6("weight"))
 
 
 @query("tfidf_transform", f"""WITH {TFIDF}, newtok AS (SELECT doc_id, {S.vector_tokens('text')} AS k FROM documents),

@@ -1,9 +1,9 @@
 """Text cleaning and tokenising as native column expressions."""
 from __future__ import annotations
 
+import pathlib
 import re
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +107,9 @@ def clickbait_count(c: Column) -> Column:
 
 
 def default_stop_words(language: str = "english") -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords(language)
+    """The list in credence/data/stopwords, which MLlib uses too; needs neither a session nor a jar."""
+    path = pathlib.Path(__file__).resolve().parents[1] / "data" / "stopwords" / f"{language}.txt"
+    return [w for w in path.read_text(encoding="utf-8").split("\n") if w.strip()]
 
 
 def remove_stop_words(df: DataFrame, column: str, words: list[str], out: str) -> DataFrame:

@@ -60,9 +60,9 @@ def homoglyphs(c: Column, seed: Column, p: float = 0.05) -> Column:
 
 
 def nikud_space(c: Column, seed: Column, p: float = 0.05) -> Column:
-    """Hebrew marks out, some whitespace characters doubled."""
+    """Hebrew marks out; with probability p a whitespace character becomes one or two of itself, evenly."""
     def change(ch: Column, i: Column) -> Column:
-        double = F.rlike(ch, F.lit(r"(?U)^\s$")) & (position_uniform(seed, i) < p)
+        double = F.rlike(ch, F.lit(r"(?U)^\s$")) & (position_uniform(seed, i) < F.lit(p) / 2)
         return F.when(double, F.concat(ch, ch)).otherwise(ch)
     return F.array_join(F.transform(F.split(F.regexp_replace(c, K.HEBREW_MARKS, ""), ""), change), "")
 

@@ -12,14 +12,15 @@ from credence.operators.profile import text_missing
 
 # fixed values: entities that article text uses, '&amp;' last so that nothing is decoded twice
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-HIDDEN_ELEMENTS = r"(?is)<(script|style|nav|header|footer|noscript|title)\b.*?</(script|style|nav|header|footer|noscript|title)>"
+# one pattern a tag, so that an element ends at its own closing tag
+HIDDEN_ELEMENTS = [rf"(?is)<{t}\b.*?</{t}>" for t in ("script", "style", "nav", "header", "footer", "noscript", "title")]
 COMMENTS = r"(?s)<!--.*?-->"
 TAGS = r"(?s)<[^>]*>"
 
 
 def page_text(html: Column) -> Column:
     """Readable text of a stored page: hidden elements, comments and tags out, entities decoded."""
-    bare = reduce(lambda c, p: F.regexp_replace(c, p, " "), [COMMENTS, HIDDEN_ELEMENTS, TAGS], html)
+    bare = reduce(lambda c, p: F.regexp_replace(c, p, " "), [COMMENTS, *HIDDEN_ELEMENTS, TAGS], html)
     return collapse_space(reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), bare))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from credence.functions.dates import lenient_timestamp
 from credence.functions.hashing import hash32, uniform
-from credence.operators.layout import lookup_join, n_buckets, ranked
+from credence.operators.layout import broadcast_if_small, lookup_join, n_buckets, ranked
 
 
 def _hash_rank(df: DataFrame, key: str, strata: list[str], seed: int) -> DataFrame:
@@ -58,7 +58,8 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     totals = counts.agg(F.struct(F.sum("_n").alias("n"), F.count("*").alias("k"))).scalar()
     weights = counts.select(label, (totals["n"] / (totals["k"] * F.col("_n"))).alias("weight"))
-    return df.join(weights, label, "left")
+    # one row a class: broadcast after a look at the size, as hashing rows by two labels would fill two tasks
+    return df.join(broadcast_if_small(weights), label, "left")
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

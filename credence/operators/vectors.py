@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from credence.functions.hashing import hash32
 from credence.functions.text import blank_if_null
-from credence.operators.layout import BROADCAST_ROWS, broadcast_if_small
+from credence.operators.layout import BROADCAST_ROWS, broadcast_if_small, is_small
 from credence.operators.profile import vector_tokens, word_grams
 
 
@@ -154,8 +154,10 @@ def std_scale(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def term_index(vocabulary: DataFrame, max_features: int) -> DataFrame:
-    """Column number per term. The vocabulary is capped, so numbering it in one task is bounded."""
-    return vocabulary.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("index")).limit(max_features)
+    """Column number per term; a table longer than the vocabulary's cap is an error, never cut."""
+    if not is_small(vocabulary, max_features):
+        raise ValueError(f"the vocabulary has more than {max_features} terms")
+    return vocabulary.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("index"))
 
 
 def to_vectors(weights: DataFrame, index: DataFrame, keys: DataFrame, key: str, size: int,

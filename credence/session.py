@@ -1,6 +1,7 @@
 """Session settings and the shared folder that intermediate tables are written to."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,11 +35,14 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
 def shared_root(spark: SparkSession) -> str:
     """The folder that every executor sees: spark.checkpoint.dir of the session.
 
-    Only a session without that setting (local tests) gets a folder of its own.
+    Only a local session without that setting (tests) gets a folder of its own; on a cluster a folder of
+    the driver would not be seen by executors, so that is an error.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not configured and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="credence-"))
     return (configured or context.getCheckpointDir()).rstrip("/")
 
