@@ -90,7 +90,7 @@ def write_warc(pages: DataFrame, root: str, key: str = "page_id", url: str = "ur
     bounds = range_bounds(narrow, "page_id", "size", shard_bytes)
     groups = cut_lineage(narrow.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("refers"), F.count("*").alias("n"))
                          .filter("n > 1").drop("n"))
-    decisions = narrow.join(groups, "digest").filter("page_id IS NULL OR page_id < refers").select(
+    decisions = narrow.join(groups, "digest").filter("refers IS NOT NULL AND (page_id IS NULL OR page_id < refers)").select(
         "page_id", "digest", "refers").distinct()
     both = (rows.select("page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers"), "url", "payload")
             .unionByName(decisions.select("page_id", "digest", F.lit(0).alias("kind"), "refers",
