@@ -15,7 +15,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMORY = {"byte": 1_000_000, "word": 300_000}  # about 200 bytes each
+MEMORY = {"byte": 700_000, "word": 300_000}  # about 500 bytes each
 LONG_PIECE = 256
 STEP = 1_000_000  # characters whose pieces are held at once
 
