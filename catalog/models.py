@@ -1,6 +1,8 @@
 """Bindings of the fitted operators. They have no SQL; tests/test_models.py checks their quality.
 
-Vocabulary and tree sizes are set small here; the rows are always the whole labelled table.
+Settings are the operators' defaults, but for the number of boosting rounds (ROUNDS instead of 400: a round is
+a series of Spark jobs, so its time does not shrink with the table) and of bandit steps. The rows are always
+the whole labelled table.
 """
 from __future__ import annotations
 
@@ -16,13 +18,17 @@ from credence.functions.hashing import uniform
 from credence.operators import backfill as B
 from credence.operators import features as X
 from credence.operators import metrics as M
+from credence.operators import model_store as MS
 from credence.operators import models as MD
 from credence.operators import splits as G
 from credence.operators import vectors as V
 from credence.operators.layout import cut_lineage
+from credence.session import work_path
 
+WORD_CAP, CHAR_CAP = 200_000, 150_000
 NUMBERS = ["text_n_chars", "text_n_tokens", "text_exc_qm", "text_upper_ratio", "text_ttr"]
-CONFIG = MD.StackConfig(max_char=2000, max_word=2000, dims=32, rounds=8, depth=4, folds=3, max_iter=20)
+ROUNDS = 20
+CONFIG = MD.StackConfig(rounds=ROUNDS)
 
 
 def labelled(spark, sf_dir):
@@ -46,7 +52,7 @@ def halves(df):
 @query("fit_tfidf_logit")
 def fit_tfidf_logit(spark, sf_dir):
     train, val = halves(labelled(spark, sf_dir))
-    model = MD.fit_tfidf_logit(train, "doc_id", "mt", max_features=5000, reg=1e-3, max_iter=30)
+    model = MD.fit_tfidf_logit(train, "doc_id", "mt")
     return evaluated(M.evaluate_scores(MD.score_terms(model, val, "doc_id", "mt").join(val, "doc_id")))
 
 
@@ -54,10 +60,10 @@ def fit_tfidf_logit(spark, sf_dir):
 def fit_incremental(spark, sf_dir):
     train, val = halves(labelled(spark, sf_dir))
     counts = V.term_counts(V.word_terms(train, "doc_id", "mt"), "doc_id")
-    vocabulary = cut_lineage(V.fit_vocabulary(counts, train.agg(F.count("*")).scalar(), 5, 5000))
+    vocabulary = cut_lineage(V.fit_vocabulary(counts, train.agg(F.count("*")).scalar(), 5, WORD_CAP))
     parts = G.stratified_folds(train, "doc_id", k=3, seed=9)
     batches = [parts.filter(F.col("fold") == i).drop("fold") for i in range(3)]
-    return evaluated(MD.fit_incremental(batches, val, "doc_id", "mt", vocabulary, 5000)[1])
+    return evaluated(MD.fit_incremental(batches, val, "doc_id", "mt", vocabulary, WORD_CAP)[1])
 
 
 @query("fit_embedding_logit")
@@ -70,24 +76,26 @@ def fit_embedding_logit(spark, sf_dir):
 
 def char_vectors(spark, sf_dir):
     df = labelled(spark, sf_dir)
-    weights, vocabulary = V.tfidf_char(df, "doc_id", "mt", 3, 5, max_features=1000)
+    weights, vocabulary = V.tfidf_char(df, "doc_id", "mt", 3, 5, max_features=CHAR_CAP)
     vocabulary = cut_lineage(vocabulary)
-    return V.to_vectors(weights, V.term_index(vocabulary, 1000), df.select("doc_id", "label"), "doc_id", vocabulary.count())
+    return V.to_vectors(weights, V.term_index(vocabulary, CHAR_CAP), df.select("doc_id", "label"), "doc_id", vocabulary.count())
 
 
 @query("fit_calibrated_svm")
 def fit_calibrated_svm(spark, sf_dir):
     train, val = halves(char_vectors(spark, sf_dir))
-    return evaluated(M.evaluate_scores(MD.fit_calibrated_svm(train, "doc_id", max_iter=20).transform(val)))
+    return evaluated(M.evaluate_scores(MD.fit_calibrated_svm(train, "doc_id").transform(val)))
 
 
 @query("fit_boosted_trees")
 def fit_boosted_trees(spark, sf_dir):
     df = full_rows(spark, sf_dir)
-    long = V.numeric_block(df, "doc_id", NUMBERS)
     index = spark.createDataFrame(list(zip(NUMBERS, range(len(NUMBERS)))), "term string, index long")
-    train, val = halves(V.to_vectors(long, index, df.select("doc_id", "label"), "doc_id", len(NUMBERS)))
-    scores = MD.fit_boosted_trees(train, rounds=10, depth=4).transform(val).withColumn("p_fake", MD.p_fake_of())
+    rows, new = halves(df)
+    tops = cut_lineage(V.largest(V.numeric_rows(rows, "doc_id", NUMBERS)))
+    train, val = (V.to_vectors(V.numeric_block(part, "doc_id", NUMBERS, tops), index, part.select("doc_id", "label"),
+                               "doc_id", len(NUMBERS)) for part in (rows, new))
+    scores = MD.fit_boosted_trees(train, rounds=ROUNDS).transform(val).withColumn("p_fake", MD.p_fake_of())
     return evaluated(M.evaluate_scores(scores))
 
 
@@ -95,7 +103,7 @@ def fit_boosted_trees(spark, sf_dir):
 def proba_fake(spark, sf_dir):
     """P(FAKE) is the column of class 0, whatever the order of the classes."""
     df = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS doc_id", "embedding", "CAST(label % 2 AS INT) AS label")
-    scores = MD.fit_embedding_logit(MD.embedding_rows(df, "doc_id", "embedding"), max_iter=10).transform(
+    scores = MD.fit_embedding_logit(MD.embedding_rows(df, "doc_id", "embedding")).transform(
         MD.embedding_rows(df, "doc_id", "embedding"))
     return scores.select("doc_id", MD.p_fake_of().alias("p_fake"), F.element_at(vector_to_array("probability"), 2).alias("p_real"))
 
@@ -128,12 +136,44 @@ def stacking_oof(spark, sf_dir):
 
 @query("score_stacked")
 def score_stacked(spark, sf_dir):
-    df = full_rows(spark, sf_dir)
-    tables = MD.stack_tables(df, "doc_id", "mt", "embedding", NUMBERS, CONFIG)
-    stack = MD.fit_bases(df, "doc_id", tables, NUMBERS, CONFIG)
-    base = cut_lineage(df.select("doc_id", "label").join(stack.base_scores(df, "doc_id", tables), "doc_id"))
-    stack.meta = MD.fit_meta(base, MD.BASES)
-    return evaluated(stack.score(df, "doc_id", tables).select("doc_id", *MD.BASES, "p_fake"))
+    """Unseen articles scored by a stack that was fitted out of fold on the others, stored and loaded again."""
+    train, new = halves(full_rows(spark, sf_dir))
+    fitted, _, _ = MD.stacking_oof(train, "doc_id", "mt", "embedding", NUMBERS, CONFIG)
+    stack = MS.load_stack(spark, MS.save_stack(fitted, work_path(spark, "stack")))
+    tables = MD.stack_tables(new, "doc_id", "mt", "embedding", NUMBERS, CONFIG)
+    return evaluated(stack.score(new, "doc_id", tables).select("doc_id", *MD.BASES, "p_fake"))
+
+
+@query("retrain_from_log")
+def retrain_from_log(spark, sf_dir):
+    """A stored stack's meta model refitted on logged texts, whose base scores are computed from the stored bases."""
+    rows = full_rows(spark, sf_dir)
+    old, logged = halves(rows)
+    tables = MD.stack_tables(old, "doc_id", "mt", "embedding", NUMBERS, CONFIG)
+    path = MS.save_stack(MD.fit_bases(old, "doc_id", tables, NUMBERS, CONFIG), work_path(spark, "stack"))
+    stack = MS.load_stack(spark, path)
+    log = logged.select("doc_id", F.col("mt").alias("text"))
+    labels = logged.select(F.col("mt").alias("text"), "label")
+    return evaluated(MD.retrain_from_log(log, labels, stack, "doc_id",
+                                         MD.stack_tables(logged, "doc_id", "mt", "embedding", NUMBERS, CONFIG)))
+
+
+@query("stored_term_model")
+def stored_term_model(spark, sf_dir):
+    """Scores of a term model before and after it was stored."""
+    train, new = halves(labelled(spark, sf_dir))
+    model = MD.fit_tfidf_logit(train, "doc_id", "mt")
+    loaded = MS.load_term_model(spark, MS.save_term_model(model, work_path(spark, "term-model")))
+    again = MD.score_terms(loaded, new, "doc_id", "mt").withColumnRenamed("p_fake", "p_loaded")
+    return evaluated(MD.score_terms(model, new, "doc_id", "mt").join(again, "doc_id"))
+
+
+@query("augmentation_bandit")
+def augmentation_bandit(spark, sf_dir):
+    train, new = halves(labelled(spark, sf_dir))
+    counts = V.term_counts(V.word_terms(train, "doc_id", "mt"), "doc_id")
+    vocabulary = cut_lineage(V.fit_vocabulary(counts, train.agg(F.count("*")).scalar(), 5, WORD_CAP))
+    return evaluated(MD.augmentation_bandit(train, new, "doc_id", "mt", vocabulary, WORD_CAP, steps=6)[1])
 
 
 CANDIDATES = [
@@ -144,14 +184,15 @@ CANDIDATES = [
 
 @query("search_pipeline")
 def search_pipeline(spark, sf_dir):
-    return evaluated(MD.search_pipeline(full_rows(spark, sf_dir), "doc_id", "mt", CANDIDATES, NUMBERS, k=2, max_features=1000, max_iter=10))
+    return evaluated(MD.search_pipeline(full_rows(spark, sf_dir), "doc_id", "mt", CANDIDATES, NUMBERS))
 
 
 @query("fit_best")
 def fit_best(spark, sf_dir):
     df = full_rows(spark, sf_dir)
-    results = MD.search_pipeline(df, "doc_id", "mt", CANDIDATES, NUMBERS, "cost", k=2, max_features=1000, max_iter=10)
-    vectors, model, genes = MD.fit_best(df, "doc_id", "mt", results, NUMBERS, 1000, 10)
+    results = MD.search_pipeline(df, "doc_id", "mt", CANDIDATES, NUMBERS, "cost")
+    vectors, fitted, genes = MD.fit_best(df, "doc_id", "mt", results, NUMBERS)
+    model, genes = MS.load_best(spark, MS.save_best(fitted, genes, spark, work_path(spark, "best")))
     scores = model.transform(vectors(df.select("doc_id", "label")))
     return scores.select("doc_id", r6("p_fake").alias("p_fake"), F.lit(genes["tau_low"]).alias("tau_low"), F.lit(genes["tau_high"]).alias("tau_high"))
 
@@ -181,13 +222,13 @@ def coded(spark, sf_dir):
 @query("impute_codes")
 def impute_codes(spark, sf_dir):
     df = coded(spark, sf_dir)
-    predicted, _, _ = MD.impute_codes(df, "doc_id", "category", ["title", "text"], ["source", "type"], trees=10)
+    predicted, _, _ = MD.impute_codes(df, "doc_id", "category", ["title", "text"], ["source", "type"])
     return B.inject_predictions(df, predicted, "doc_id", "category", "category_pred").select("doc_id", "category")
 
 
 @query("impute_codes_report")
 def impute_codes_report(spark, sf_dir):
-    return evaluated(MD.impute_codes(coded(spark, sf_dir), "doc_id", "category", ["title", "text"], ["source", "type"], trees=10)[2])
+    return evaluated(MD.impute_codes(coded(spark, sf_dir), "doc_id", "category", ["title", "text"], ["source", "type"])[2])
 
 
 @query("categorical_encode", f"""WITH {CANON}, c AS (SELECT doc_id, coalesce(category, 'unknown') AS category FROM canon),

@@ -39,7 +39,7 @@ def feature_table(spark, sf_dir):
 def score_and_explain(spark, sf_dir):
     """Every article scored, explained and recorded by a model fitted on the labelled ones."""
     train, _ = halves(labelled(spark, sf_dir))
-    model = MD.fit_tfidf_logit(train, "doc_id", "mt", max_features=2000, reg=1e-3, max_iter=10)
+    model = MD.fit_tfidf_logit(train, "doc_id", "mt")
     requests = canonical(spark, sf_dir).select("doc_id", "text")
     out = P.score_and_explain(requests, model, "doc_id", memory(spark, sf_dir), T.stop_word_profiles(PROFILE_CODES))
     return out.select("doc_id", F.to_json("result").alias("result"))

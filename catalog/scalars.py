@@ -119,6 +119,20 @@ def detect_lang(spark, sf_dir):
     return df.select("doc_id", T.detect_lang("tokens", T.stop_word_profiles(PROFILE_CODES)).alias("detected"))
 
 
+# the documents' letters written in other scripts
+_ABC = "abcdefghijklmnopqrstuv"
+_OTHER = {1: "".join(chr(0x05D0 + i) for i in range(22)), 2: "".join(chr(0x0995 + i) for i in range(19)) + "রলশ",
+          3: "".join(chr(0x03B1 + i) for i in range(22)), 4: "".join(chr(0x4E00 + i) for i in range(22))}
+_SCRIPTED = "CASE doc_id % 6 " + " ".join(
+    f"WHEN {k} THEN translate(lower(text), '{_ABC}', '{v}')" for k, v in _OTHER.items()) + " ELSE text END"
+
+
+@query("detect_lang_scripts", lambda: f"SELECT doc_id, {S.detect_lang('t')} AS detected FROM (SELECT doc_id, {_SCRIPTED} AS t FROM documents)")
+def detect_lang_scripts(spark, sf_dir):
+    df = documents(spark, sf_dir).select("doc_id", T.profile_tokens(F.expr(_SCRIPTED)).alias("tokens"))
+    return df.select("doc_id", T.detect_lang("tokens", T.stop_word_profiles(PROFILE_CODES)).alias("detected"))
+
+
 _LANG = "CASE doc_id % 6 WHEN 0 THEN 'he-IL' WHEN 1 THEN 'ZH' WHEN 2 THEN 'zh-Hant' WHEN 3 THEN NULL ELSE upper(lang) END"
 
 

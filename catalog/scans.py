@@ -209,10 +209,10 @@ def stream_fit(spark, sf_dir):
     df = canonical(spark, sf_dir).filter("label IS NOT NULL")
     train, val = halves(df.select("doc_id", "label", V.model_text(df).alias("text")))
     counts = V.term_counts(V.word_terms(train, "doc_id", "text"), "doc_id")
-    vocabulary = cut_lineage(V.fit_vocabulary(counts, train.agg(F.count("*")).scalar(), 5, 5000))
+    vocabulary = cut_lineage(V.fit_vocabulary(counts, train.agg(F.count("*")).scalar(), 5, 200_000))
 
     def step(coef, bias, batch):
-        weights = cut_lineage(V.transform(batch, vocabulary, "doc_id", "text", max_features=5000))
+        weights = cut_lineage(V.transform(batch, vocabulary, "doc_id", "text", max_features=200_000))
         return MD.sgd_step(coef, bias, weights, G.class_weights(batch.select("doc_id", "label")), "doc_id", 5.0)
 
     path, state, cp = landed(train, spark), work_path(spark, "coef"), work_path(spark, "cp")
@@ -220,7 +220,7 @@ def stream_fit(spark, sf_dir):
                  lambda: (vocabulary.select("term", F.lit(0.0).alias("coef")), 0.0), step)
     last = J.latest_version(spark, state)
     bias = last.filter("term IS NULL").first()["coef"]
-    model = MD.TermModel(vocabulary, last.filter("term IS NOT NULL"), bias, 5000)
+    model = MD.TermModel(vocabulary, last.filter("term IS NOT NULL"), bias, 200_000)
     scores = MD.score_terms(model, val, "doc_id", "text").join(val, "doc_id")
     return evaluated(M.evaluate_scores(scores))
 

@@ -5,7 +5,7 @@ from catalog.features import WORD, WS
 from catalog.registry import quoted
 from credence import constants as K
 from credence.functions.labels import folded
-from credence.functions.text import default_stop_words
+from credence.functions.text import PROFILE_LETTERS, SCRIPT_RANGES, default_stop_words
 
 NWS = WS.replace("[", "[^", 1)
 W_IN, S_IN = r"\p{L}\p{N}_", WS[1:-1]
@@ -131,7 +131,10 @@ def detect_lang(c):
     hits = {k: profile_hits(c, stop_words(v)) for k, v in LANGS.items()}
     listed = "[" + ", ".join(hits[k] for k in LANGS) + "]"
     best = f"list_max({listed})"
-    return f"CASE WHEN {best} > 0 THEN ['de', 'en', 'es', 'fr'][list_position({listed}, {best})] END"
+    letters = f"array_to_string(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}'']+'), '')"
+    half = lambda r: f"length(regexp_replace({letters}, '[^{r}]+', '', 'g')) * 2 > length({letters})"
+    scripts = " ".join(f"WHEN NOT {half(PROFILE_LETTERS)} AND {half(r)} THEN '{code}'" for code, r in SCRIPT_RANGES.items())
+    return f"CASE {scripts} WHEN {best} > 0 THEN ['de', 'en', 'es', 'fr'][list_position({listed}, {best})] END"
 
 
 def timestamp(c):

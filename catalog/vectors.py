@@ -245,7 +245,7 @@ def occlusion_explain(spark, sf_dir):
 def perturbation_explain(spark, sf_dir):
     keys = texts(spark, sf_dir)
     weights, vocabulary = V.tfidf_word(keys, "doc_id", "mt", high=1, max_features=N_TERMS)
-    return E.perturbation_explain(weights, coefficients(vocabulary), "doc_id", INTERCEPT, samples=100)
+    return E.perturbation_explain(weights, coefficients(vocabulary), "doc_id", INTERCEPT)
 
 
 TOP = f"""tk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(effect) DESC, term) AS r FROM con WHERE term <> '{E.ABSENT}'),

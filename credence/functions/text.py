@@ -140,10 +140,32 @@ def profile_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(blank_if_null(c)), F.lit(r"([\p{L}']+)"), F.lit(1))
 
 
+# fixed values: languages told by their letters alone, as code ranges
+SCRIPT_RANGES = {
+    "he": r"\x{0590}-\x{05FF}", "ar": r"\x{0600}-\x{06FF}", "hi": r"\x{0900}-\x{097F}", "bn": r"\x{0980}-\x{09FF}",
+    "th": r"\x{0E00}-\x{0E7F}", "el": r"\x{0370}-\x{03FF}", "ja": r"\x{3040}-\x{30FF}", "ko": r"\x{AC00}-\x{D7AF}",
+    "zh-cn": r"\x{4E00}-\x{9FFF}",
+}
+# letters of languages told by their words: Latin and Cyrillic
+PROFILE_LETTERS = r"\x{0000}-\x{036F}\x{0400}-\x{052F}"
+
+
+def script_lang(letters: Column) -> Column:
+    """Language whose script holds more than half of the letters, else null."""
+    def half(char_class: str) -> Column:
+        return char_count(letters, char_class) * 2 > F.length(letters)
+    first, *rest = SCRIPT_RANGES.items()
+    found = F.when(half(first[1]), F.lit(first[0]))
+    for code, char_class in rest:
+        found = found.when(half(char_class), F.lit(code))
+    # most texts are in Latin or Cyrillic letters: one look spares them the others
+    return F.when(~half(PROFILE_LETTERS), found)
+
+
 def detect_lang(tokens: str, profiles: dict[str, list[str]]) -> Column:
-    """Language whose profile words cover most tokens; null without a hit; ties by code order.
+    """Language by script where one script says it, else the one whose profile words cover most tokens.
 
-    Row-local, so it needs neither a join nor a shuffle.
+    Null without a hit; ties by code order. Row-local, so it needs neither a join nor a shuffle.
     """
     scored = [
         F.struct(
@@ -155,7 +177,10 @@ def detect_lang(tokens: str, profiles: dict[str, list[str]]) -> Column:
     ]
     # a one-element transform evaluates the costly scores once for both uses of the winner
     best = F.array(F.array_max(F.array(*scored)))
-    return F.transform(best, lambda b: F.when(b["hits"] > 0, b["code"]))[0]
+    by_words = F.transform(best, lambda b: F.when(b["hits"] > 0, b["code"]))[0]
+    # likewise the joined letters, which every script test reads
+    by_script = F.transform(F.array(F.array_join(tokens, "")), script_lang)[0]
+    return F.coalesce(by_script, by_words)
 
 
 def normalize_lang(c: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.ml.feature import (
     IDF, CountVectorizer, IndexToString, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,7 @@ from credence.operators import augment as A
 from credence.operators import metrics as M
 from credence.operators import splits as G
 from credence.operators import vectors as V
+from credence.operators.backfill import feedback_join
 from credence.operators.layout import broadcast_if_small, cut_lineage
 from credence.operators.scoring import linear_margin, sigmoid
 
@@ -49,6 +51,8 @@ class TermModel:
     coefficients: DataFrame
     intercept: float
     max_features: int
+    # (term, mean): mean weight in the training texts, the background of explanations
+    background: DataFrame | None = None
 
     def weights(self, df: DataFrame, key: str, text: str) -> DataFrame:
         return V.transform(df, self.vocabulary, key, text, max_features=self.max_features)
@@ -69,11 +73,13 @@ def fit_tfidf_logit(train: DataFrame, key: str, text: str, max_features: int = 2
     labelled = G.class_weights(both.select("_row", "label"))
     rows = cut_lineage(V.to_vectors(weights, index, labelled, "_row", vocabulary.count()))
     model = logit(reg=reg, max_iter=max_iter).fit(rows)
+    means = rows.filter(F.endswith("_row", F.lit("#0"))).agg(Summarizer.mean(F.col("features"))).first()[0]
     # the vocabulary cap bounds what passes through the driver here
-    values = [(i, -float(c)) for i, c in enumerate(model.coefficients.toArray())]
-    coef = spark.createDataFrame(values, "index long, coef double")
-    coefficients = cut_lineage(index.join(coef, "index").select("term", "coef"))
-    return TermModel(vocabulary, coefficients, -float(model.intercept), max_features)
+    values = [(i, -float(c), float(m)) for i, (c, m) in enumerate(zip(model.coefficients.toArray(), means.toArray()))]
+    fitted = spark.createDataFrame(values, "index long, coef double, mean double")
+    terms = cut_lineage(index.join(fitted, "index").select("term", "coef", "mean"))
+    return TermModel(vocabulary, terms.select("term", "coef"), -float(model.intercept), max_features,
+                     terms.select("term", "mean"))
 
 
 def term_margin(model: TermModel, df: DataFrame, key: str, text: str) -> DataFrame:
@@ -153,7 +159,7 @@ class CalibratedSvm:
 
 def fit_calibrated_svm(train: DataFrame, key: str, c: float = 1.0, inner: int = 3, max_iter: int = 50, seed: int = 7) -> CalibratedSvm:
     """Balanced linear SVM; Platt's sigmoid on out-of-fold margins."""
-    rows = cut_lineage(G.stratified_folds(G.class_weights(train), key, k=inner, seed=seed).withColumnRenamed("fold", "_inner"))
+    rows = cut_lineage(G.stratified_folds(G.class_weights(train), key, k=inner, seed=seed, exact=True).withColumnRenamed("fold", "_inner"))
     reg = 1.0 / (c * max(1, rows.count()))
     svc = LinearSVC(labelCol="label", weightCol="weight", regParam=reg, maxIter=max_iter)
 
@@ -262,12 +268,14 @@ class Stack:
     emb: object
     meta: object = None
     numeric: list[str] = field(default_factory=list)
+    # (term, top): largest absolute number per column of the training rows
+    tops: DataFrame | None = None
 
     def base_scores(self, df: DataFrame, key: str, tables: dict[str, DataFrame]) -> DataFrame:
         cfg = self.config
         keys = df.select(key)
         char = _vectors(tables["char"], self.char_vocabulary, keys, key, cfg.max_char)
-        word = _sketched(tables["word"], self.word_vocabulary, tables.get("numeric"), keys, key, cfg, self.numeric)
+        word = _sketched(tables["word"], self.word_vocabulary, tables.get("numeric"), self.tops, keys, key, cfg, self.numeric)
         emb = keys.join(tables["emb"], key)
         scored = [
             self.svm.transform(char).select(key, F.col("p_fake").alias("p_svm")),
@@ -289,12 +297,12 @@ def _vectors(counts: DataFrame, vocabulary: DataFrame, keys: DataFrame, key: str
     return V.to_vectors(weights, index, keys, key, vocabulary.count())
 
 
-def _sketched(counts: DataFrame, vocabulary: DataFrame, numeric: DataFrame | None, keys: DataFrame, key: str,
-              cfg: StackConfig, names: list[str]) -> DataFrame:
-    """Projected word weights followed by the scaled numeric columns; missing numbers are 0."""
+def _sketched(counts: DataFrame, vocabulary: DataFrame, numeric: DataFrame | None, tops: DataFrame | None,
+              keys: DataFrame, key: str, cfg: StackConfig, names: list[str]) -> DataFrame:
+    """Projected word weights followed by the numeric columns under fitted maxima; missing numbers are 0."""
     weights = sketch(V.weigh(counts.join(keys, key, "left_semi"), vocabulary, key, cfg.max_word), key, cfg.dims)
     if numeric is not None and names:
-        weights = weights.unionByName(numeric.join(keys, key, "left_semi").select(key, "term", "weight"))
+        weights = weights.unionByName(V.scale_by(numeric.join(keys, key, "left_semi"), tops, key))
     columns = [f"slot{i}" for i in range(cfg.dims)] + names
     index = keys.sparkSession.createDataFrame([(t, i) for i, t in enumerate(columns)], "term string, index long")
     return V.to_vectors(weights, index, keys, key, len(columns))
@@ -309,25 +317,26 @@ def stack_tables(df: DataFrame, key: str, text: str, vector: str, numeric: list[
         "emb": cut_lineage(df.select(key, array_to_vector(F.transform(F.col(vector), lambda x: x.cast("double"))).alias("features"))),
     }
     if numeric:
-        tables["numeric"] = cut_lineage(V.numeric_block(df, key, numeric))
+        tables["numeric"] = cut_lineage(V.numeric_rows(df, key, numeric))
     return tables
 
 
 def fit_bases(rows: DataFrame, key: str, tables: dict[str, DataFrame], numeric: list[str], cfg: StackConfig) -> Stack:
-    """Three base learners on the given rows; vocabularies see these rows only."""
+    """Three base learners on the given rows; vocabularies and number maxima see these rows only."""
     rows = cut_lineage(rows.select(key, "label"))
     keys, n = rows.select(key), rows.agg(F.count("*")).scalar()
     vocabularies = [
         cut_lineage(V.fit_vocabulary(tables[t].join(keys, key, "left_semi"), n, cfg.min_df, cap))
         for t, cap in (("char", cfg.max_char), ("word", cfg.max_word))]
     char = _vectors(tables["char"], vocabularies[0], rows, key, cfg.max_char)
-    word = _sketched(tables["word"], vocabularies[1], tables.get("numeric"), rows, key, cfg, numeric)
+    tops = cut_lineage(V.largest(tables["numeric"].join(keys, key, "left_semi"))) if numeric else None
+    word = _sketched(tables["word"], vocabularies[1], tables.get("numeric"), tops, rows, key, cfg, numeric)
     emb = rows.join(tables["emb"], key)
     return Stack(
         cfg, *vocabularies,
         svm=fit_calibrated_svm(char, key, max_iter=cfg.max_iter),
         trees=fit_boosted_trees(word, cfg.rounds, cfg.depth, seed=cfg.seed),
-        emb=fit_embedding_logit(emb, max_iter=cfg.max_iter), numeric=numeric)
+        emb=fit_embedding_logit(emb, max_iter=cfg.max_iter), numeric=numeric, tops=tops)
 
 
 def stacking_oof(df: DataFrame, key: str, text: str, vector: str, numeric: list[str],
@@ -337,7 +346,7 @@ def stacking_oof(df: DataFrame, key: str, text: str, vector: str, numeric: list[
     Folds are independent Spark jobs, submitted by a few threads.
     """
     tables = stack_tables(df, key, text, vector, numeric, cfg)
-    rows = cut_lineage(G.stratified_folds(df.select(key, "label"), key, k=cfg.folds, seed=cfg.seed))
+    rows = cut_lineage(G.stratified_folds(df.select(key, "label"), key, k=cfg.folds, seed=cfg.seed, exact=True))
 
     def fold(i: int) -> DataFrame:
         fitted = fit_bases(rows.filter(F.col("fold") != i), key, tables, numeric, cfg)
@@ -362,6 +371,51 @@ def retrain_meta(feedback: DataFrame, base_scores: DataFrame, key: str, columns:
     return model, M.confusion_counts(judged)
 
 
+def retrain_from_log(log: DataFrame, labels: DataFrame, stack: Stack, key: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """Refit the meta model of a stored stack on logged texts whose labels arrived; base scores are computed here.
+
+    log holds (key, text), labels (text, label). Changes stack.meta and returns its confusion counts.
+    """
+    known = cut_lineage(feedback_join(log, labels).select(key, "label"))
+    scores = cut_lineage(stack.base_scores(known, key, tables))
+    stack.meta, counts = retrain_meta(known, scores, key, BASES)
+    return counts
+
+
+# ---- augmentation bandit -----------------------------------------------------------------------------------
+
+
+def augmentation_bandit(train: DataFrame, validation: DataFrame, key: str, text: str, vocabulary: DataFrame,
+                        max_features: int, steps: int = 30, batch: int = 4096, fraction: float = 0.7,
+                        rate: float = 5.0, alpha: float = 0.2, seed: int = 42) -> tuple[TermModel, DataFrame]:
+    """Choose a noise, update the model on a noised sample, reward the noise by the validation PR-AUC.
+
+    Returns the model and the history (mini_epoch, arm, reward, eps, value, n): one row a step, so the
+    driver may keep it. value and n are those of the arm after its reward.
+    """
+    spark, history = train.sparkSession, []
+    columns = "mini_epoch int, arm string, reward double, eps double, value double, n long"
+    weights = cut_lineage(V.transform(validation, vocabulary, key, text, max_features=max_features))
+    truth = cut_lineage(validation.select(key, "label"))
+    coefficients, bias = vocabulary.select("term", F.lit(0.0).alias("coef")), 0.0
+    arms = spark.createDataFrame([(a,) for a in A.ARMS], "arm string")
+    for step in range(steps):
+        eps = A.epsilon(step, steps)
+        rewards = spark.createDataFrame(history, columns).select("arm", "mini_epoch", "reward")
+        values = arms.join(A.arm_values(rewards, "arm", "mini_epoch", "mini_epoch", "reward", alpha), "arm", "left").select(
+            "arm", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("n", F.lit(0)).alias("n"))
+        chosen = A.choose_arm(values, "arm", step, eps, seed).first()
+        sample = cut_lineage(G.sample_rows(train.select(key, text, "label"), key, batch, seed + step))
+        noised = A.augment(sample, key, text, chosen["arm"], fraction, seed + step)
+        known = cut_lineage(V.transform(noised, vocabulary, key, text, max_features=max_features))
+        coefficients, bias = sgd_step(coefficients, bias, known, G.class_weights(sample.select(key, "label")), key, rate)
+        margin = linear_margin(weights, coefficients, truth, key, bias)
+        scored = cut_lineage(truth.join(margin, key).select("label", sigmoid(F.col("margin")).alias("p_fake")))
+        reward = float(M.average_precision(M.curve_points(scored)).first()[0] or 0.0)
+        history.append((step, chosen["arm"], reward, eps, (1 - alpha) * chosen["value"] + alpha * reward, chosen["n"] + 1))
+    return TermModel(vocabulary, coefficients, bias, max_features), spark.createDataFrame(history, columns)
+
+
 # ---- candidate search ------------------------------------------------------------------------------------
 
 # fixed values: bounds of the search space
@@ -396,16 +450,18 @@ def fit_candidate(rows: DataFrame, key: str, tables: dict[str, DataFrame], genes
     blocks = {"w": (tables[f"word{genes['word_high']}"], genes["min_df"]), "c": (tables[char], 5)}
     vocabularies = {b: cut_lineage(V.fit_vocabulary(t.join(keys, key, "left_semi"), n, m, max_features)) for b, (t, m) in blocks.items()}
     names = V.concat_blocks({b: v.select("term") for b, v in vocabularies.items()})
+    tops = None
     if genes["use_numeric"] and "numeric" in tables:
-        names = names.unionByName(tables["numeric"].select(F.concat(F.lit("n:"), "term").alias("term")).distinct())
+        tops = cut_lineage(V.largest(tables["numeric"].join(keys, key, "left_semi")))
+        names = names.unionByName(tops.select(F.concat(F.lit("n:"), "term").alias("term")))
     index = cut_lineage(V.term_index(names, 3 * max_features))
     size = index.count()
 
     def vectors(some: DataFrame) -> DataFrame:
         wanted = some.select(key)
         parts = {b: V.weigh(t.join(wanted, key, "left_semi"), vocabularies[b], key, max_features) for b, (t, _) in blocks.items()}
-        if genes["use_numeric"] and "numeric" in tables:
-            parts["n"] = tables["numeric"].join(wanted, key, "left_semi")
+        if tops is not None:
+            parts["n"] = V.scale_by(tables["numeric"].join(wanted, key, "left_semi"), tops, key)
         return V.to_vectors(V.concat_blocks(parts), index, some, key, size)
 
     model = fit_calibrated_svm(vectors(rows), key, 10.0 ** genes["log_c"], inner=2, max_iter=max_iter)
@@ -422,7 +478,7 @@ def search_tables(df: DataFrame, key: str, text: str, numeric: list[str], candid
         if char not in tables:
             tables[char] = cut_lineage(V.term_counts(V.char_terms(docs, key, text, *CHAR_PAIRS[genes["char_pair"]]), key))
         if genes["use_numeric"] and numeric and "numeric" not in tables:
-            tables["numeric"] = cut_lineage(V.numeric_block(df, key, numeric))
+            tables["numeric"] = cut_lineage(V.numeric_rows(df, key, numeric))
     return tables
 
 
@@ -437,7 +493,7 @@ def search_pipeline(df: DataFrame, key: str, text: str, candidates: list[dict],
     genes = [repair(c) for c in candidates]
     tables = search_tables(df, key, text, numeric or [], genes)
     base = df.select(key, "label", *([group] if group else []))
-    rows = cut_lineage(G.group_folds(base, group, k) if group else G.stratified_folds(base, key, k=k))
+    rows = cut_lineage(G.group_folds(base, group, k) if group else G.stratified_folds(base, key, k=k, exact=True))
     seen = {(r["fold"], r["label"]) for r in rows.select("fold", "label").distinct().collect()}
     folds = sorted({f for f, _ in seen})
     usable = [f for f in folds if len({y for g, y in seen if g == f}) == 2 and len({y for g, y in seen if g != f}) == 2]
@@ -498,7 +554,7 @@ def impute_codes(df: DataFrame, key: str, target: str, text_columns: list[str],
     filled = df.withColumns({c: F.coalesce(c, F.lit("")) for c in text_columns}).withColumns(
         {c: F.coalesce(c, F.lit("unknown")) for c in code_columns}).withColumn(target, F.lower(F.coalesce(target, F.lit("unknown"))))
     filled = cut_lineage(filled.select(key, target, *text_columns, *code_columns))
-    known = G.stratified_split(filled.filter(F.col(target) != "unknown"), key)
+    known = cut_lineage(G.stratified_split(filled.filter(F.col(target) != "unknown"), key, target, exact=True))
     model = code_pipeline(text_columns, code_columns, target, **kw).fit(known.filter("NOT is_val"))
     decode = IndexToString(inputCol="prediction", outputCol=f"{target}_pred", labels=model.stages[0].labels)
     predicted = decode.transform(model.transform(filled.filter(F.col(target) == "unknown"))).select(key, f"{target}_pred")

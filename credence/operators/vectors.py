@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from credence.functions.hashing import hash32
 from credence.functions.text import blank_if_null
-from credence.operators.layout import BROADCAST_ROWS, broadcast_if_small, is_small
+from credence.operators.layout import BROADCAST_ROWS, broadcast_if_small, cut_lineage, is_small, running_totals
 from credence.operators.profile import vector_tokens, word_grams
 
 
@@ -66,11 +66,25 @@ def fit_vocabulary(counts: DataFrame, n_docs: Column, min_df: int = 5, max_featu
     """Terms in at least min_df documents, the most frequent max_features of them, with smooth idf."""
     vocab = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter(F.col("df") >= min_df)
     if max_features is not None:
-        vocab = vocab.orderBy(F.desc("cf"), "term").limit(max_features)
+        vocab = most_frequent(cut_lineage(vocab), max_features)
     idf = F.log((n_docs + F.lit(1)) / (F.col("df") + 1)) + 1
     return vocab.select("term", "df", "cf", idf.alias("idf"))
 
 
+def most_frequent(vocab: DataFrame, n: int) -> DataFrame:
+    """The n terms with the largest cf, ties by term, of a stored vocabulary.
+
+    The cut-off comes from the running number of terms per cf, so only the terms tied at it are ordered.
+    """
+    if is_small(vocab, n):
+        return vocab
+    levels = running_totals(vocab.groupBy("cf").agg(F.count("*").alias("n")), [], "cf", ["n"], ascending=False)
+    beyond = levels.filter(F.col("cum_n") > n)
+    cut, before = beyond.agg(F.max("cf"), F.max_by(F.col("cum_n") - F.col("n"), "cf")).first()
+    tied = vocab.filter(F.col("cf") == cut).orderBy("term").limit(n - before)
+    return vocab.filter(F.col("cf") > cut).unionByName(tied)
+
+
 def weigh(counts: DataFrame, vocabulary: DataFrame, key: str, max_features: int | None = None) -> DataFrame:
     """(1 + ln tf) * idf per known term, scaled to unit length per document."""
     return _unit_weights(counts.join(_known(vocabulary, max_features), "term"), key)
@@ -132,11 +146,26 @@ def numeric_columns(df: DataFrame, skip: tuple[str, ...] = ("label",)) -> list[s
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in skip]
 
 
-def numeric_block(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Numeric columns as long rows, zeros left out, scaled by the largest absolute value."""
-    scaled = max_abs_scale(df.select(key, *columns), columns)
-    pairs = F.array(*[F.struct(F.lit(c).alias("term"), F.col(c).alias("weight")) for c in columns])
-    return scaled.select(key, F.inline(pairs)).filter(F.col("weight") != 0)
+def numeric_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Numeric columns as long rows as they are; nulls and zeros are left out."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("term"), F.col(c).cast("double").alias("weight")) for c in columns])
+    return df.select(key, F.inline(pairs)).filter(F.col("weight") != 0)
+
+
+def largest(rows: DataFrame) -> DataFrame:
+    """(term, top): the largest absolute value of every column of long rows. Fitted on training rows."""
+    return rows.groupBy("term").agg(F.max(F.abs("weight")).alias("top"))
+
+
+def scale_by(rows: DataFrame, tops: DataFrame, key: str) -> DataFrame:
+    """Long rows divided by fitted maxima (one row a column, so broadcast); a column without one is 0."""
+    return rows.join(F.broadcast(tops), "term").select(key, "term", (F.col("weight") / F.col("top")).alias("weight"))
+
+
+def numeric_block(df: DataFrame, key: str, columns: list[str], tops: DataFrame | None = None) -> DataFrame:
+    """Numeric columns as long rows, zeros left out, scaled by given maxima or by those of df itself."""
+    rows = numeric_rows(df, key, columns)
+    return scale_by(rows, largest(rows) if tops is None else tops, key)
 
 
 def max_abs_scale(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from credence import constants as K
 from credence.operators import explain as E
 from credence.operators.features import article_features
+from credence.operators.layout import cut_lineage
 from credence.operators.models import TermModel
 from credence.operators.scoring import score_tfidf
 from credence.operators.translation import translate
@@ -43,11 +44,11 @@ def credibility_report(articles: DataFrame, top: int = 20) -> DataFrame:
 def score_and_explain(requests: DataFrame, model: TermModel, key: str, memory: DataFrame,
                       profiles: dict[str, list[str]], target_lang: str = "en", k: int = 10) -> DataFrame:
     """Batch form of a prediction request: translate, score, explain, one record per request."""
-    used = translate(requests, "text", memory, profiles, target_lang, out="text_used")
+    used = cut_lineage(translate(requests, "text", memory, profiles, target_lang, out="text_used"))
     docs = used.select(key, F.col("text_used").alias("text"))
-    weights = model.weights(docs, key, "text")
+    weights = cut_lineage(model.weights(docs, key, "text"))
     scores = score_tfidf(weights, model.coefficients, docs, key, model.intercept)
-    tokens = E.top_tokens(E.linear_contributions(weights, model.coefficients, docs, key), key, k)
+    tokens = E.top_tokens(E.linear_contributions(weights, model.coefficients, docs, key, model.background), key, k)
     info = used.select(key, F.col("text_did_translate").alias("did_translate"),
                        F.col("text_lang").alias("src_lang"), F.lit(target_lang).alias("tgt_lang"))
     return E.explain_batch(scores, tokens, key, "linear", info)

@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credence.operators.layout import cut_lineage
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -35,18 +36,25 @@ def log_predictions(df: DataFrame, path: str) -> None:
 
 def write_report(df: DataFrame, path: str) -> None:
     """A small report (metrics, thresholds) as JSON lines in one file."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.repartition(1).write.mode("overwrite").json(path)
 
 
 def cached_rows(keys: DataFrame, path: str, key: list[str],
                 compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows of a growing table: only keys that are not stored yet are computed and appended."""
-    spark = keys.sparkSession
-    if path_exists(spark, path):
-        known = spark.read.parquet(path)
-        compute(keys.join(known.select(*key), key, "left_anti")).write.mode("append").parquet(path)
-    else:
-        compute(keys).write.mode("ignore").parquet(path)
+    """Rows of a growing table: only keys that are not stored yet are computed and appended.
+
+    Keys that were computed are kept beside the rows, so a key that yields no row is not computed again. They
+    are written after the rows: keys of a run that died in between are known by their rows.
+    """
+    spark, done = keys.sparkSession, f"{path.rstrip('/')}.keys"
+    new = keys.select(*key).distinct()
+    for stored in (path, done):
+        if path_exists(spark, stored):
+            new = new.join(spark.read.parquet(stored).select(*key), key, "left_anti")
+    # fixed before rows are appended, as its own plan reads them
+    new = cut_lineage(new)
+    compute(keys.join(new, key, "left_semi")).write.mode("append").parquet(path)
+    new.write.mode("append").parquet(done)
     return spark.read.parquet(path).join(keys.select(*key), key, "left_semi")
 
 
