@@ -1,8 +1,8 @@
 """Bindings of the fitted operators. They have no SQL; tests/test_models.py checks their quality.
 
-Settings are the operators' defaults, but for the number of boosting rounds (ROUNDS instead of 400: a round is
-a series of Spark jobs, so its time does not shrink with the table) and of bandit steps. The rows are always
-the whole labelled table.
+Vocabularies, sample counts and forests are the operators' defaults. The stack, the boosted trees, the candidate
+search and the bandit repeat many small Spark jobs whose time does not shrink with the table, so they run with
+the fewer rounds, folds, slots and iterations given here. The rows are always the whole labelled table.
 """
 from __future__ import annotations
 
@@ -27,8 +27,8 @@ from credence.session import work_path
 
 WORD_CAP, CHAR_CAP = 200_000, 150_000
 NUMBERS = ["text_n_chars", "text_n_tokens", "text_exc_qm", "text_upper_ratio", "text_ttr"]
-ROUNDS = 20
-CONFIG = MD.StackConfig(rounds=ROUNDS)
+ROUNDS, DEPTH = 8, 4
+CONFIG = MD.StackConfig(dims=32, rounds=ROUNDS, depth=DEPTH, folds=3, max_iter=20)
 
 
 def labelled(spark, sf_dir):
@@ -95,7 +95,7 @@ def fit_boosted_trees(spark, sf_dir):
     tops = cut_lineage(V.largest(V.numeric_rows(rows, "doc_id", NUMBERS)))
     train, val = (V.to_vectors(V.numeric_block(part, "doc_id", NUMBERS, tops), index, part.select("doc_id", "label"),
                                "doc_id", len(NUMBERS)) for part in (rows, new))
-    scores = MD.fit_boosted_trees(train, rounds=ROUNDS).transform(val).withColumn("p_fake", MD.p_fake_of())
+    scores = MD.fit_boosted_trees(train, rounds=ROUNDS, depth=DEPTH).transform(val).withColumn("p_fake", MD.p_fake_of())
     return evaluated(M.evaluate_scores(scores))
 
 
@@ -184,14 +184,14 @@ CANDIDATES = [
 
 @query("search_pipeline")
 def search_pipeline(spark, sf_dir):
-    return evaluated(MD.search_pipeline(full_rows(spark, sf_dir), "doc_id", "mt", CANDIDATES, NUMBERS))
+    return evaluated(MD.search_pipeline(full_rows(spark, sf_dir), "doc_id", "mt", CANDIDATES, NUMBERS, k=2, max_iter=10))
 
 
 @query("fit_best")
 def fit_best(spark, sf_dir):
     df = full_rows(spark, sf_dir)
-    results = MD.search_pipeline(df, "doc_id", "mt", CANDIDATES, NUMBERS, "cost")
-    vectors, fitted, genes = MD.fit_best(df, "doc_id", "mt", results, NUMBERS)
+    results = MD.search_pipeline(df, "doc_id", "mt", CANDIDATES, NUMBERS, "cost", k=2, max_iter=10)
+    vectors, fitted, genes = MD.fit_best(df, "doc_id", "mt", results, NUMBERS, max_iter=10)
     model, genes = MS.load_best(spark, MS.save_best(fitted, genes, spark, work_path(spark, "best")))
     scores = model.transform(vectors(df.select("doc_id", "label")))
     return scores.select("doc_id", r6("p_fake").alias("p_fake"), F.lit(genes["tau_low"]).alias("tau_low"), F.lit(genes["tau_high"]).alias("tau_high"))
