@@ -181,19 +181,23 @@ def article_memory(spark, sf_dir):
     return df.selectExpr("text", "lang AS src", "'en' AS tgt", "concat('[en] ', text) AS translation")
 
 
-def multi_sql() -> str:
-    return f"""WITH {CANON}, tagged AS (SELECT *, {S.detect_lang('title')} AS dt, {S.detect_lang('text')} AS dx FROM canon),
+def multi_tables() -> str:
+    return f"""tagged AS (SELECT *, {S.detect_lang('title')} AS dt, {S.detect_lang('text')} AS dx FROM canon),
       tm AS (SELECT text AS k, lang AS src, min('[en] ' || text) AS tr FROM canon WHERE doc_id % 3 = 0 GROUP BY 1, 2),
       j AS (SELECT g.*, a.tr AS title_tr, b.tr AS text_tr FROM tagged g
         LEFT JOIN tm a ON dt <> 'en' AND a.k = title AND a.src = dt
-        LEFT JOIN tm b ON dx <> 'en' AND b.k = g.text AND b.src = dx)
-      """ + select(title="coalesce(title_tr, title)", text="coalesce(text_tr, text)", source="source", category="category",
-                   author="'unknown'", date_published="date_published",
-                   type="CASE WHEN type IS NULL AND doc_id % 2 = 0 THEN 'Fake' WHEN type IS NULL THEN 'unknown' ELSE type END",
-                   label="doc_id % 2") + " FROM j"
+        LEFT JOIN tm b ON dx <> 'en' AND b.k = g.text AND b.src = dx)"""
 
 
-@query("adapt_multilingual", multi_sql)
+def multi_select() -> str:
+    return select(
+        title="coalesce(title_tr, title)", text="coalesce(text_tr, text)", source="source", category="category",
+        author="'unknown'", date_published="date_published",
+        type="CASE WHEN type IS NULL AND doc_id % 2 = 0 THEN 'Fake' WHEN type IS NULL THEN 'unknown' ELSE type END",
+        label="doc_id % 2") + " FROM j"
+
+
+@query("adapt_multilingual", lambda: f"WITH {CANON}, {multi_tables()} {multi_select()}")
 def adapt_multilingual(spark, sf_dir):
     return out(A.adapt_multilingual(multilingual_files(spark, sf_dir), article_memory(spark, sf_dir),
                                     T.stop_word_profiles(PROFILE_CODES)))
@@ -240,7 +244,7 @@ def conform(spark, sf_dir):
 MERGE = " UNION ALL ".join(f"({p})" for p in (CLAIM, TWO, STRING, AUTHOR, FACT_SELECT, STORY, VIDEO, SOCIAL, BOT, CRAWL))
 
 
-@query("merge_sources", f"""WITH {CANON}, {FACT}, {CRAWL_ROWS}, u AS ({MERGE})
+@query("merge_sources", lambda: f"""WITH {CANON}, {multi_tables()}, {FACT}, {CRAWL_ROWS}, u AS ({MERGE} UNION ALL ({multi_select()}))
     SELECT title, text, url, source, {S.normalize('category', K.CATEGORY_CODES)} AS category, author, date_published,
       rating, {S.normalize('type', K.TYPE_CODES)} AS type, label
     FROM u WHERE label IS NOT NULL AND text IS NOT NULL AND text <> ''""")
@@ -251,6 +255,7 @@ def merge_sources(spark, sf_dir):
         A.adapt_fact_check(fact_checks(spark, sf_dir)), A.adapt_story_urls(story_links(spark, sf_dir)),
         A.adapt_video(videos(spark, sf_dir)), A.adapt_social_check(posts(spark, sf_dir)),
         A.adapt_bot_news(bot_news(spark, sf_dir)), A.adapt_typed_crawl(typed_crawl(spark, sf_dir)),
+        A.adapt_multilingual(multilingual_files(spark, sf_dir), article_memory(spark, sf_dir), T.stop_word_profiles(PROFILE_CODES)),
     ]
     return out(C.merge_sources(parts))
 

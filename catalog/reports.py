@@ -28,11 +28,12 @@ def credibility_report(spark, sf_dir):
 
 @query("feature_table", f"""WITH {FEATS}, u AS (SELECT label, text_n_tokens AS n FROM feats WHERE label IS NOT NULL UNION ALL
       SELECT label, text_n_tokens FROM feats WHERE label IS NOT NULL)
-    SELECT label, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_tokens FROM u GROUP BY label""")
+    SELECT label, count(*) AS n_rows, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_tokens FROM u GROUP BY label""")
 def feature_table(spark, sf_dir):
     parts = [A.adapt_string_label(string_labelled(spark, sf_dir)), A.adapt_bot_news(bot_news(spark, sf_dir))]
     stored = P.feature_table(parts, work_path(spark, "features"))
-    return stored.groupBy("label").agg(F.count("*").alias("n_rows"), F.sum("text_n_tokens").alias("n_tokens"))
+    return stored.groupBy("label").agg(F.count("*").alias("n_rows"), F.countDistinct("doc_id").alias("n_keys"),
+                                         F.sum("text_n_tokens").alias("n_tokens"))
 
 
 @query("score_and_explain")

@@ -233,9 +233,10 @@ def stream_arm_values(spark, sf_dir):
     cuts = [None, *events.select(F.percentile_approx("at", [0.33, 0.67])).first()[0], None]
     for low, high in zip(cuts, cuts[1:]):
         part = events.filter((F.lit(low is None) | (F.col("at") >= (low or 0))) & (F.lit(high is None) | (F.col("at") < (high or 0))))
-        part.coalesce(1).write.mode("append").json(path)
-    J.stream_arm_values(J.arriving(spark, path, "arm string, event_id long, value double, at long", 1), state, cp,
-                        "arm", "at", "event_id", "value")
+        part.write.mode("append").json(path)
+        # each period is drained before the next arrives, in one batch however many files it has
+        J.stream_arm_values(J.arriving(spark, path, "arm string, event_id long, value double, at long", 1_000_000),
+                            state, cp, "arm", "at", "event_id", "value")
     return J.latest_version(spark, state).withColumn("value", r6("value"))
 
 

@@ -112,7 +112,7 @@ def running_totals(df: DataFrame, groups: list[str], column: str, values: list[s
     """
     buckets = buckets or n_buckets(df)
     ranged = bucketed(df, column, quantile_bounds(df, column, buckets))
-    sums = ranged.groupBy(*groups, "_bucket").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
+    sums = cut_lineage(ranged.groupBy(*groups, "_bucket").agg(*[F.sum(v).alias(f"_s_{v}") for v in values]))
     step = F.col("_bucket").asc() if ascending else F.col("_bucket").desc()
     before = Window.partitionBy(*groups).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
@@ -123,33 +123,57 @@ def running_totals(df: DataFrame, groups: list[str], column: str, values: list[s
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
         join_on(ranged.withColumns({f"_r_{v}": F.sum(v).over(inside) for v in values}),
-                offsets, [*groups, "_bucket"])
+                broadcast_if_small(offsets), [*groups, "_bucket"])
         .withColumns({f"cum_{v}": F.col(f"_r_{v}") + F.col(f"_o_{v}") for v in values})
         .drop("_bucket", *[f"_r_{v}" for v in values], *[f"_o_{v}" for v in values])
     )
 
 
+def split_ties(ranged: DataFrame, ties: list[str], buckets: int) -> DataFrame:
+    """Add `_part`: ranges that hold more than 4 / buckets of the rows are cut again by (_by, ties).
+
+    The cuts are taken from about 16 sampled rows a part, drawn by a hash of the ties, so they stay few and
+    any repeat of the work finds the same ones. Only rows equal in (_by, ties) stay together.
+    """
+    counts = {r["_bucket"]: r["count"] for r in ranged.groupBy("_bucket").count().collect()}
+    total = sum(counts.values())
+    heavy = [b for b, n in counts.items() if n * buckets > 4 * total]
+    if not heavy:
+        return ranged.withColumn("_part", F.lit(0))
+    place = F.struct("_by", *ties)
+    share = min(1.0, 16 * buckets / total)
+    drawn = ranged.filter(F.col("_bucket").isin(heavy) & (F.pmod(F.xxhash64(*ties), F.lit(1 << 30)) < share * (1 << 30)))
+    cuts = drawn.groupBy("_bucket").agg(F.array_sort(F.collect_set(place)).alias("_cuts")).select(
+        "_bucket", F.expr("filter(_cuts, (c, i) -> i % 16 = 15)").alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda c: c < place))
+    return ranged.join(F.broadcast(cut_lineage(cuts)), "_bucket", "left").withColumn(
+        "_part", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)).drop("_cuts")
+
+
 def ranked(df: DataFrame, groups: list[str], column: str | Column, ties: list[str], out: str = "rank",
            bounds: list[float] | None = None, buckets: int | None = None) -> DataFrame:
     """1-based rank by (column, ties) inside every group, plus the group size, from range-local ranks.
 
     `bounds` cut the order into ranges; for a uniform hash they are known without looking at the data.
+    Without them, ranges crowded by one value are cut again by the ties.
     """
     buckets = buckets or n_buckets(df)
     keyed = df.withColumn("_by", F.col(column) if isinstance(column, str) else column)
     if bounds is None:
-        bounds = quantile_bounds(keyed, "_by", buckets)
-    ranged = bucketed(keyed, "_by", bounds)
-    sums = ranged.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
+        ranged = split_ties(bucketed(keyed, "_by", quantile_bounds(keyed, "_by", buckets)), ties, buckets)
+    else:
+        ranged = bucketed(keyed, "_by", bounds).withColumn("_part", F.lit(0))
+    place = [*groups, "_bucket", "_part"]
+    sums = cut_lineage(ranged.groupBy(*place).agg(F.count("*").alias("_n")))
     whole = Window.partitionBy(*groups)
-    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy("_bucket", "_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        *groups, "_bucket",
+        *place,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         F.sum("_n").over(whole).alias(f"{out}_of"))
-    inside = Window.partitionBy(*groups, "_bucket").orderBy("_by", *ties)
+    inside = Window.partitionBy(*place).orderBy("_by", *ties)
     return (
-        join_on(ranged.withColumn("_inside", F.row_number().over(inside)), offsets, [*groups, "_bucket"])
+        join_on(ranged.withColumn("_inside", F.row_number().over(inside)), broadcast_if_small(offsets), place)
         .withColumn(out, F.col("_inside") + F.col("_offset"))
-        .drop("_by", "_bucket", "_inside", "_offset")
+        .drop("_by", "_bucket", "_part", "_inside", "_offset")
     )

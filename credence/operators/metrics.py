@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credence import constants as K
-from credence.operators.layout import running_totals
+from credence.operators.layout import cut_lineage, running_totals
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -23,13 +23,17 @@ def confusion_counts(df: DataFrame, label: str = "label", predicted: str = "pred
                      groups: list[str] | None = None) -> DataFrame:
     """Counts, accuracy, precision, recall and F1 with FAKE as the positive class, in one aggregate."""
     y, h = F.col(label), F.col(predicted)
-    counted = df.groupBy(*(groups or [])).agg(
+    return confusion_shares(df.groupBy(*(groups or [])).agg(
         F.count("*").alias("n"),
         F.count_if((h == K.FAKE) & (y == K.FAKE)).alias("tp"),
         F.count_if((h == K.FAKE) & (y == K.REAL)).alias("fp"),
         F.count_if((h == K.REAL) & (y == K.FAKE)).alias("fn"),
         F.count_if((h == K.REAL) & (y == K.REAL)).alias("tn"),
-    )
+    ))
+
+
+def confusion_shares(counted: DataFrame) -> DataFrame:
+    """Accuracy, precision, recall and F1 beside the counts."""
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return counted.withColumns({
         "accuracy": _share(tp + tn, F.col("n")),
@@ -66,17 +70,21 @@ def class_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def score_counts(df: DataFrame, score: str, label: str, groups: list[str]) -> DataFrame:
-    """Positives (FAKE) and negatives per distinct score: ties, and hot scores, become one row."""
+    """Rows (n), positives (FAKE) and negatives per distinct score: ties, and hot scores, become one row."""
     return df.groupBy(*groups, F.col(score).alias("score")).agg(
-        F.count_if(F.col(label) == K.FAKE).alias("pos"), F.count_if(F.col(label) == K.REAL).alias("neg"))
+        F.count_if(F.col(label) == K.FAKE).alias("pos"), F.count_if(F.col(label) == K.REAL).alias("neg"),
+        F.count("*").alias("n"))
 
 
 def curve_points(df: DataFrame, score: str = "p_fake", label: str = "label",
                  groups: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Per distinct score: rows with it (pos, neg) and rows at or above it (cum_pos, cum_neg)."""
     groups = groups or []
-    return running_totals(score_counts(df, score, label, groups), groups, "score", ["pos", "neg"],
-                          ascending=False, buckets=buckets)
+    return cumulated(score_counts(df, score, label, groups), groups, buckets).drop("n")
+
+
+def cumulated(counts: DataFrame, groups: list[str], buckets: int | None = None) -> DataFrame:
+    return running_totals(counts, groups, "score", ["pos", "neg"], ascending=False, buckets=buckets)
 
 
 def rank_quality(points: DataFrame, groups: list[str] | None = None) -> DataFrame:
@@ -114,14 +122,25 @@ def roc_curve(points: DataFrame) -> DataFrame:
 
 def evaluate_scores(df: DataFrame, score: str = "p_fake", label: str = "label",
                     groups: list[str] | None = None) -> DataFrame:
-    """n, accuracy, F1 of FAKE at 0.5, PR-AUC and ROC-AUC (per group)."""
-    keys = groups or ["_all"]
-    df = df if groups else df.withColumn("_all", F.lit(1))
-    judged = df.withColumn("_hat", predicted_label(F.col(score)))
-    table = confusion_counts(judged, label, "_hat", keys)
-    ranks = rank_quality(curve_points(df, score, label, keys), keys)
-    return table.join(ranks, keys).select(
-        *(groups or []), F.col("n").alias("n_val"), "accuracy", F.col("f1").alias("f1_fake"),
+    """n, accuracy, F1 of FAKE at 0.5, PR-AUC and ROC-AUC (per group).
+
+    The rows are read once, into counts per distinct score; everything after works on those.
+    """
+    keys = groups or []
+    counts = cut_lineage(score_counts(df, score, label, keys))
+    fake = predicted_label(F.col("score")) == K.FAKE
+
+    def total(column: str, when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, F.col(column))), F.lit(0))
+
+    table = confusion_shares(counts.groupBy(*keys).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), total("pos", fake).alias("tp"), total("neg", fake).alias("fp"),
+        total("pos", ~fake).alias("fn"), total("neg", ~fake).alias("tn")))
+    # both sides are one row a group, so they are stacked and folded instead of joined
+    found = ["n", "accuracy", "f1", "pr_auc", "roc_auc"]
+    stacked = table.unionByName(rank_quality(cumulated(counts, keys), keys), allowMissingColumns=True)
+    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in found]).select(
+        *keys, F.col("n").alias("n_val"), "accuracy", F.col("f1").alias("f1_fake"),
         F.col("pr_auc").alias("pr_auc_fake"), F.col("roc_auc").alias("roc_auc_fake"))
 
 

@@ -488,7 +488,8 @@ def search_pipeline(df: DataFrame, key: str, text: str, candidates: list[dict],
     """Cross-validated fitness per candidate: PR-AUC of the held-out rows, or their mean cost reward.
 
     Folds with one class are left out; a candidate without a usable fold, or with low >= high, is
-    impossible. Candidates and folds are jobs of a small thread pool.
+    impossible. Candidates that differ in thresholds only share their fits, and one aggregate rewards all
+    their pairs. Fits and folds are jobs of a small thread pool.
     """
     genes = [repair(c) for c in candidates]
     tables = search_tables(df, key, text, numeric or [], genes)
@@ -498,20 +499,28 @@ def search_pipeline(df: DataFrame, key: str, text: str, candidates: list[dict],
     folds = sorted({f for f, _ in seen})
     usable = [f for f in folds if len({y for g, y in seen if g == f}) == 2 and len({y for g, y in seen if g != f}) == 2]
 
-    def fitness(job: tuple[int, int]) -> float:
-        g, fold = genes[job[0]], job[1]
+    def fitness(job: tuple[tuple, int]) -> dict[int, float]:
+        members, fold = shared[job[0]], job[1]
+        g = genes[members[0]]
         vectors, model = fit_candidate(rows.filter(F.col("fold") != fold), key, tables, g, max_features, max_iter)
         scored = model.transform(vectors(rows.filter(F.col("fold") == fold))).select("label", "p_fake")
         if mode == "pr_auc":
-            return M.average_precision(M.curve_points(cut_lineage(scored))).first()[0]
-        return M.cost_reward(scored, g["tau_low"], g["tau_high"]).first()[0]
+            found = M.average_precision(M.curve_points(cut_lineage(scored))).first()[0]
+            return dict.fromkeys(members, found)
+        rewards = [F.avg(M.cost_of(F.col("p_fake"), F.col("label"), F.lit(genes[i]["tau_low"]), F.lit(genes[i]["tau_high"])))
+                   for i in members]
+        return dict(zip(members, scored.agg(*rewards).first()))
 
-    jobs = [(i, f) for i, g in enumerate(genes) if g["tau_low"] < g["tau_high"] for f in usable]
+    shared: dict[tuple, list[int]] = {}
+    for i, g in enumerate(genes):
+        if g["tau_low"] < g["tau_high"]:
+            shared.setdefault(tuple(v for n, v in g.items() if not n.startswith("tau")), []).append(i)
+    jobs = [(kind, f) for kind in shared for f in usable]
     with ThreadPoolExecutor(parallel) as pool:
-        results = list(zip(jobs, pool.map(fitness, jobs)))
+        results = list(pool.map(fitness, jobs))
     table = []
     for i, g in enumerate(genes):
-        values = [v for (j, _), v in results if j == i]
+        values = [r[i] for r in results if i in r]
         table.append((i, *[float(g[n]) for n in SPACE], len(values), float(np.mean(values)) if values else IMPOSSIBLE))
     return df.sparkSession.createDataFrame(
         table, "candidate int, " + ", ".join(f"{n} double" for n in SPACE) + ", n_folds int, fitness double")

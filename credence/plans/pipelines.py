@@ -15,9 +15,14 @@ from credence.sources.canonical import content_id, merge_sources
 
 
 def feature_table(parts: list[DataFrame], path: str) -> DataFrame:
-    """Adapted sources to the stored feature table: merge, key by content, features, Parquet."""
-    merged = merge_sources(parts).withColumn("doc_id", content_id("title", "text", "url"))
-    article_features(merged).write.mode("overwrite").parquet(path)
+    """Adapted sources to the stored feature table: merge, key, features, Parquet.
+
+    The key is made of the content and the row's number in this write, so copies of an article in several
+    sources stay rows of their own. It is fixed by the table that is written.
+    """
+    merged = merge_sources(parts).withColumn("_row", F.monotonically_increasing_id())
+    keyed = merged.withColumn("doc_id", content_id("title", "text", "url", "_row")).drop("_row")
+    article_features(keyed).write.mode("overwrite").parquet(path)
     return merged.sparkSession.read.parquet(path)
 
 

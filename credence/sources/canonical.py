@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from credence import constants as K
 from credence.functions.labels import normalize_code
-from credence.operators.layout import lookup_join
+from credence.operators.layout import HOT_SHARE, cut_lineage, lookup_join
 
 TYPES = {"rating": "double", "label": "int"}
 
@@ -55,11 +55,14 @@ def target_mean(df: DataFrame, key: str, label: str = "label", out: str = "ratin
     """Mean label of a row's key as a feature; `default` for null keys and keys without labels.
 
     The means come from a map-side combined aggregate and return by a skew-safe lookup; no window
-    over the key, so a key with a third of the rows is never sorted in one task.
+    over the key, so a key with a third of the rows is never sorted in one task. The same aggregate
+    tells the hot keys, so the rows are read twice: for the means and for the lookup.
     """
-    means = df.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        F.sum(label).alias("_sum"), F.count(label).alias("_cnt"))
-    joined = lookup_join(df, means, key)
+    counts = cut_lineage(df.filter(F.col(key).isNotNull()).groupBy(key).agg(
+        F.sum(label).alias("_sum"), F.count(label).alias("_cnt"), F.count("*").alias("_n")))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hot = counts.filter(F.col("_n") >= total * HOT_SHARE).select(key)
+    joined = lookup_join(df, counts.drop("_n"), key, hot)
     if leave_one_out:
         own = F.coalesce(F.col(label), F.lit(0))
         seen = F.col(label).isNotNull().cast("long")

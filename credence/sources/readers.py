@@ -21,11 +21,16 @@ BAD_LINE = "_bad_line"
 
 
 def read_csv(spark: SparkSession, path: str, schema, n_rows: int | None = None,
-             columns: list[str] | None = None, sep: str = ",", header: bool = True) -> DataFrame:
-    """CSV with quoted line breaks; n_rows is the caller's row cap, columns the ones to parse."""
+             columns: list[str] | None = None, sep: str = ",", header: bool = True,
+             multi_line: bool = True) -> DataFrame:
+    """CSV with quoted line breaks; n_rows is the caller's row cap, columns the ones to parse.
+
+    A file with quoted line breaks cannot be split, so it is one task: where no field holds one, pass
+    multi_line=False; else read it once and keep it with `materialize_once`.
+    """
     df = (
         spark.read.schema(schema).option("header", header).option("sep", sep)
-        .option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+        .option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
     )
     if columns:
         df = df.select(*columns)
