@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.llm import (
-    bpe, language_id, nearest, packing, quality_classifier, quality_rules, simhash, token_files, toxicity, warc,
+    bpe, decontamination, language_id, nearest, packing, quality_classifier, quality_rules, simhash, token_files, toxicity, warc,
 )
 from credence.llm.common import table
 
@@ -109,3 +109,28 @@ def pipeline(spark, sf):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf)
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op11_decontamination", f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, w[s:s + least(len(w), 10) - 1] AS g
+        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM b WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT len(g) AS k FROM win),
+grams AS (SELECT doc_id, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda p: {{'p': p, 'g': w[p:p + k - 1]}})) AS x
+          FROM d, ks WHERE len(w) >= k),
+occ AS (SELECT DISTINCT grams.doc_id, x.p AS p, grams.k, win.item_id FROM grams JOIN win ON x.g = win.g),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + k - 1)) AS pos FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS items_sha256
+        FROM (SELECT DISTINCT doc_id, item_id FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hit.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(its.n_items, 0) AS BIGINT) AS n_items, coalesce(its.items_sha256, sha256('')) AS items_sha256,
+       coalesce(hit.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""")
+def op11(spark, sf):
+    return decontamination.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
