@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.llm import (
-    bpe, decontamination, language_id, nearest, packing, quality_classifier, quality_rules, simhash, token_files, toxicity, warc,
+    bpe, decontamination, divergence, language_id, nearest, packing, quality_classifier, quality_rules, simhash, token_files, toxicity, warc,
 )
 from credence.llm.common import table
 
@@ -134,3 +134,35 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""")
 def op11(spark, sf):
     return decontamination.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_TERMS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')")
+
+
+@query("op12_source_divergence", f"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS t FROM documents),
+grp AS (SELECT DISTINCT lang, source FROM d),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(t)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+occ AS (SELECT lang, source, term, count(*) AS c FROM (SELECT lang, source, unnest(t) AS term FROM d) GROUP BY ALL),
+cnt AS (SELECT g.lang, g.source, k.term, coalesce(o.c, 0) AS c FROM grp g JOIN kept k ON g.lang = k.lang
+        LEFT JOIN occ o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+n AS (SELECT lang, source, sum(c) AS n FROM cnt GROUP BY ALL),
+pg AS (SELECT cnt.*, 1 + (1000000000::HUGEINT * (cnt.c + 1)) // (n.n + v.v) AS p FROM cnt JOIN n USING (lang, source) JOIN v USING (lang)),
+lc AS (SELECT lang, term, sum(c) AS c FROM cnt GROUP BY ALL),
+ln AS (SELECT lang, sum(c) AS n FROM lc GROUP BY lang),
+pl AS (SELECT lc.lang, lc.term, 1 + (1000000000::HUGEINT * (lc.c + 1)) // (ln.n + v.v) AS q FROM lc JOIN ln USING (lang) JOIN v USING (lang)),
+ps AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+       FROM pg a JOIN pg b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT g1.lang, g1.source, g2.source AS item, coalesce(ps.value, 0) AS value FROM grp g1
+          JOIN grp g2 ON g1.lang = g2.lang AND g1.source <> g2.source
+          LEFT JOIN ps ON ps.lang = g1.lang AND ps.source = g1.source AND ps.item = g2.source),
+terms AS (SELECT pg.lang, pg.source, pg.term AS item, (pg.p - pl.q) * (pg.p - pl.q) // pl.q AS value
+          FROM pg JOIN pl USING (lang, term) WHERE pg.c > 0 AND pg.p > pl.q),
+allr AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM allr)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked
+WHERE part = 'pair' OR rank <= 200""")
+def op12(spark, sf):
+    return divergence.audit(table(spark, sf, "documents"))
