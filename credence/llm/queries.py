@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.llm import (
-    bpe, decontamination, divergence, language_id, nearest, packing, quality_classifier, quality_rules, simhash, token_files, toxicity, warc,
+    bpe, decontamination, divergence, prefix_trie, language_id, nearest, packing, quality_classifier, quality_rules, simhash, token_files, toxicity, warc,
 )
 from credence.llm.common import table
 
@@ -166,3 +166,8 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 WHERE part = 'pair' OR rank <= 200""")
 def op12(spark, sf):
     return divergence.audit(table(spark, sf, "documents"))
+
+
+@query("op13_prefix_trie")
+def op13(spark, sf):
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
