@@ -119,7 +119,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
               .agg(F.count(F.lit(1)).alias("c")).join(kept, ["lang", "term"]))
     totals = (groups.join(sizes, "lang", "left").join(counts.groupBy("lang", "source").agg(F.sum("c").alias("n")),
                                                       ["lang", "source"], "left")
-              .fillna(0, ["v", "n"]).withColumn("p0", price("0", "n", "v")))
+              .fillna(0, ["v", "n"]).withColumn("p0", F.when(F.col("v") > 0, price("0", "n", "v"))))
     lang_counts = counts.groupBy("lang", "term").agg(F.sum("c").alias("c"))
     lang_totals = lang_counts.groupBy("lang").agg(F.sum("c").alias("n")).join(sizes, "lang")
     priced = counts.join(totals.select("lang", "source", "n", "v"), ["lang", "source"]).withColumn("p", price("c", "n", "v"))
