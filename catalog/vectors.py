@@ -14,6 +14,7 @@ from credence.operators import features as X
 from credence.operators import scoring as C
 from credence.operators import vectors as V
 from credence.operators.layout import cut_lineage
+from credence.operators.profile import vector_tokens
 from credence.operators.translation import translate
 
 MT = "coalesce(title, '') || ' [SEP] ' || coalesce(text, '')"
@@ -243,9 +244,9 @@ def occlusion_explain(spark, sf_dir):
 
 @query("perturbation_explain")
 def perturbation_explain(spark, sf_dir):
-    keys = texts(spark, sf_dir)
-    weights, vocabulary = V.tfidf_word(keys, "doc_id", "mt", high=1, max_features=N_TERMS)
-    return E.perturbation_explain(weights, coefficients(vocabulary), "doc_id", INTERCEPT)
+    keys, weights, coef = linear(spark, sf_dir)
+    tokens = keys.select("doc_id", vector_tokens(F.col("mt")).alias("tokens"))
+    return E.perturbation_explain(weights, coef, tokens, "doc_id", INTERCEPT)
 
 
 TOP = f"""tk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(effect) DESC, term) AS r FROM con WHERE term <> '{E.ABSENT}'),

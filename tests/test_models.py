@@ -7,6 +7,7 @@ from credence.operators import metrics as M
 from credence.operators import models as MD
 from credence.operators import scoring as S
 from credence.operators import vectors as V
+from credence.operators.profile import vector_tokens
 
 
 @pytest.fixture(scope="module")
@@ -40,10 +41,11 @@ def test_term_model_beats_the_majority_and_explains_itself(spark, planted):
     low, high = gaps.agg(F.min("g"), F.max("g")).first()
     assert high - low < 1e-9
 
-    local = E.perturbation_explain(weights, model.coefficients, "doc_id", model.intercept, samples=60)
+    tokens = planted.select("doc_id", vector_tokens(F.col("mt")).alias("tokens"))
+    local = E.perturbation_explain(weights, model.coefficients, tokens, "doc_id", model.intercept, samples=60)
     hoax = local.filter("term = 'hoax'").agg(F.min("effect")).first()[0]
     assert hoax > 0
-    again = E.perturbation_explain(weights.repartition(3), model.coefficients, "doc_id", model.intercept, samples=60)
+    again = E.perturbation_explain(weights.repartition(3), model.coefficients, tokens, "doc_id", model.intercept, samples=60)
     key = ["doc_id", "term"]
     assert [r["effect"] for r in local.orderBy(*key).collect()] == pytest.approx(
         [r["effect"] for r in again.orderBy(*key).collect()])
