@@ -207,9 +207,17 @@ def _gene_sql(name):
     return f"CAST(round_even({value}, 0) AS INTEGER) AS {name}" if isinstance(low, int) else f"{value} AS {name}"
 
 
-@query("repair_candidates", f"""WITH g AS (SELECT doc_id, {', '.join(_gene_sql(n) for n in MD.SPACE)} FROM documents)
+_MOVE = f"""m AS (SELECT *, CASE WHEN tau_low >= tau_high THEN greatest(0.2::DOUBLE, least({MD.TAU_LOW_MAX}::DOUBLE,
+      (tau_low + tau_high) * 0.5 - {MD.TAU_GAP}::DOUBLE)) ELSE tau_low END AS lo,
+    CASE WHEN tau_low >= tau_high THEN least(0.8::DOUBLE, greatest({MD.TAU_HIGH_MIN}::DOUBLE,
+      (tau_low + tau_high) * 0.5 + {MD.TAU_GAP}::DOUBLE)) ELSE tau_high END AS hi FROM g),
+  r AS (SELECT * EXCLUDE (tau_low, tau_high, lo, hi), CASE WHEN lo >= hi THEN {MD.TAU_FALLBACK[0]}::DOUBLE ELSE lo END AS tau_low,
+    CASE WHEN lo >= hi THEN {MD.TAU_FALLBACK[1]}::DOUBLE ELSE hi END AS tau_high FROM m)"""
+
+
+@query("repair_candidates", f"""WITH g AS (SELECT doc_id, {', '.join(_gene_sql(n) for n in MD.SPACE)} FROM documents), {_MOVE}
     SELECT doc_id, word_high, char_pair, min_df, {r6s('log_c')} AS log_c, use_numeric, {r6s('tau_low')} AS tau_low,
-    {r6s('tau_high')} AS tau_high, tau_low < tau_high AS possible FROM g""")
+    {r6s('tau_high')} AS tau_high, tau_low < tau_high AS possible FROM r""")
 def repair_candidates(spark, sf_dir):
     raw = table(spark, sf_dir, "documents").selectExpr("doc_id", *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in _GENES.items()])
     return evaluated(MD.repaired(raw))

@@ -425,22 +425,42 @@ SPACE = {"word_high": (1, 2), "char_pair": (0, 1), "min_df": (2, 20), "log_c": (
 IMPOSSIBLE = -1e12
 
 
+# fixed values: how crossed thresholds are moved apart, and the pair used when that is not enough
+TAU_GAP, TAU_LOW_MAX, TAU_HIGH_MIN, TAU_FALLBACK = 0.05, 0.49, 0.51, (0.3, 0.7)
+
+
 def repair(candidate: dict) -> dict:
-    """Clamp every gene to its bounds and round the whole-number ones."""
+    """Clamp every gene to its bounds and round the whole-number ones; thresholds with low >= high are moved
+    apart around their middle (low at most TAU_LOW_MAX, high at least TAU_HIGH_MIN), else set to TAU_FALLBACK."""
     out = {}
     for name, (low, high) in SPACE.items():
         value = min(max(candidate[name], low), high)
         out[name] = int(round(value)) if isinstance(low, int) else float(value)
+    if out["tau_low"] >= out["tau_high"]:
+        mid = 0.5 * (out["tau_low"] + out["tau_high"])
+        out["tau_low"] = max(SPACE["tau_low"][0], min(TAU_LOW_MAX, mid - TAU_GAP))
+        out["tau_high"] = min(SPACE["tau_high"][1], max(TAU_HIGH_MIN, mid + TAU_GAP))
+        if out["tau_low"] >= out["tau_high"]:
+            out["tau_low"], out["tau_high"] = TAU_FALLBACK
     return out
 
 
 def repaired(candidates: DataFrame) -> DataFrame:
-    """The same as column expressions, for a table of candidates; impossible thresholds are flagged."""
+    """The same as column expressions, for a table of candidates; `possible` says the thresholds are ordered."""
     def gene(name: str, low, high) -> Column:
         value = F.least(F.greatest(F.col(name).cast("double"), F.lit(float(low))), F.lit(float(high)))
         return F.bround(value).cast("int") if isinstance(low, int) else value
     fixed = candidates.withColumns({n: gene(n, *b) for n, b in SPACE.items()})
-    return fixed.withColumn("possible", F.col("tau_low") < F.col("tau_high"))
+    crossed = F.col("tau_low") >= F.col("tau_high")
+    mid = (F.col("tau_low") + F.col("tau_high")) * 0.5
+    low = F.greatest(F.lit(SPACE["tau_low"][0]), F.least(F.lit(TAU_LOW_MAX), mid - TAU_GAP))
+    high = F.least(F.lit(SPACE["tau_high"][1]), F.greatest(F.lit(TAU_HIGH_MIN), mid + TAU_GAP))
+    moved = fixed.withColumns({"_lo": F.when(crossed, low).otherwise(F.col("tau_low")),
+                               "_hi": F.when(crossed, high).otherwise(F.col("tau_high"))})
+    still = F.col("_lo") >= F.col("_hi")
+    out = moved.withColumns({"tau_low": F.when(still, F.lit(TAU_FALLBACK[0])).otherwise(F.col("_lo")),
+                             "tau_high": F.when(still, F.lit(TAU_FALLBACK[1])).otherwise(F.col("_hi"))}).drop("_lo", "_hi")
+    return out.withColumn("possible", F.col("tau_low") < F.col("tau_high"))
 
 
 def fit_candidate(rows: DataFrame, key: str, tables: dict[str, DataFrame], genes: dict, max_features: int, max_iter: int):

@@ -66,6 +66,13 @@ def test_stack_is_scored_on_unseen_rows_and_survives_storage(spark, planted):
     assert counts.first()["accuracy"] == 1.0
 
 
+def test_repair_moves_crossed_thresholds_apart():
+    genes = {"word_high": 1.4, "char_pair": 3, "min_df": 0, "log_c": 9.0, "use_numeric": 0.6}
+    assert MD.repair(genes | {"tau_low": 0.9, "tau_high": 0.1}) == pytest.approx(
+        {"word_high": 1, "char_pair": 1, "min_df": 2, "log_c": 2.0, "use_numeric": 1, "tau_low": 0.45, "tau_high": 0.55})
+    assert MD.repair(genes | {"tau_low": 0.25, "tau_high": 0.75})["tau_low"] == 0.25
+
+
 def test_search_prefers_the_possible_and_shares_fits(spark, planted, monkeypatch):
     base = {"word_high": 1, "char_pair": 0, "min_df": 2, "log_c": 0.0, "use_numeric": 0}
     candidates = [base | {"tau_low": 0.3, "tau_high": 0.7}, base | {"tau_low": 0.2, "tau_high": 0.8},
@@ -74,7 +81,9 @@ def test_search_prefers_the_possible_and_shares_fits(spark, planted, monkeypatch
     monkeypatch.setattr(MD, "fit_candidate", lambda *a: fits.append(1) or fit(*a))
     got = MD.search_pipeline(planted, "doc_id", "mt", candidates, mode="cost", k=2, max_features=200, max_iter=5)
     rows = {r["candidate"]: r for r in got.collect()}
-    assert len(fits) == 2 and rows[2]["fitness"] == MD.IMPOSSIBLE and rows[2]["n_folds"] == 0
+    # crossed thresholds are moved apart around their middle and share the fits of their kind
+    assert len(fits) == 2 and (rows[2]["tau_low"], rows[2]["tau_high"]) == pytest.approx((0.45, 0.55))
+    assert rows[2]["n_folds"] == 2 and rows[2]["fitness"] > 0
     # the wider band abstains at least as often, and every decision here is right
     assert rows[0]["fitness"] >= rows[1]["fitness"] > 0
     vectors, model, genes = MD.fit_best(planted, "doc_id", "mt", got, max_features=200, max_iter=5)
