@@ -14,9 +14,11 @@ value descending, then item by UTF-8 bytes.
 Method (pair part): pair-task sparse merge. Kept terms get ids (hash block, rank in block); each group stores, per
 block, its sorted (id, price) arrays of the terms it holds (c > 0). Both groups' arrays of a block are co-grouped
 per unordered pair of sources, and a galloping intersection over the two sorted id arrays finds shared terms;
-shared, one-sided (the other side priced at its count-0 price) and absent terms are priced both ways in one task.
-Absent terms need no rows: value = V f(p0, p0') + sum over held terms of (f - f(p0, p0')). Blocks hold at most
-about BLOCK_TERMS terms, so no task holds more than two such arrays whatever the size of a source.
+shared, one-sided (the other side priced at its count-0 price) and absent terms are priced both ways at once.
+Absent terms need no rows: value = V f(p0, p0') + sum over held terms of (f - f(p0, p0')). Sources are dealt
+into tiles of SOURCES_PER_TILE; a task takes one block of two tiles (or of one) and merges every pair between
+them, so each array is copied once per tile of its lang, not once per other source. A task holds at most
+2 x SOURCES_PER_TILE arrays of about BLOCK_TERMS entries, whatever the size of a source.
 
 Defined results: null text, lang or source read as ''. A group without kept terms still gets its pair rows; a
 lang of one source gets none. Repeated rows count as documents of their own. An empty table gives no rows.
@@ -38,8 +40,9 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCS = 3
 SCALE = 1_000_000_000
 TERM_RANKS = 200
-# Kept terms in one id block: two blocks' arrays are what a pair task holds.
+# Kept terms in one id block, and sources in one tile: a pair task holds one block of at most two tiles.
 BLOCK_TERMS = 4096
+SOURCES_PER_TILE = 64
 
 
 # The ASCII characters outside terms: the complement of TERM's ranges.
@@ -106,12 +109,21 @@ def merge_pair(ids_a, p_a, ids_b, p_b, p0_a: int, p0_b: int) -> tuple[int, int]:
     return ab, ba
 
 
-def _pair_sums(batches):
-    for b in batches:
-        out = [merge_pair(*(np.empty(0) if x is None else x for x in (r.ids_a, r.p_a, r.ids_b, r.p_b)), int(r.p0_a), int(r.p0_b))
-               for r in b.itertuples(index=False)]
-        yield pd.DataFrame({"lang": b["lang"], "a": b["a"], "b": b["b"],
-                            "s_ab": [o[0] for o in out], "s_ba": [o[1] for o in out]})
+def _tile_pairs(frame: pd.DataFrame) -> pd.DataFrame:
+    """Every pair of sources between the two tiles of this task (within the tile if they are one), one block."""
+    lo, hi = int(frame["lo"].iloc[0]), int(frame["hi"].iloc[0])
+    frame = frame.sort_values("_i")
+    empty = np.empty(0, np.int64)
+    rows = [(r.source, int(r.tile), int(r.p0), empty if r.ids is None else r.ids, empty if r.ps is None else r.ps)
+            for r in frame.itertuples(index=False)]
+    left = [r for r in rows if r[1] == lo]
+    right = left if lo == hi else [r for r in rows if r[1] == hi]
+    out = []
+    for i, a in enumerate(left):
+        for b in (right[i + 1:] if lo == hi else right):
+            if len(a[3]) or len(b[3]):
+                out.append((frame["lang"].iloc[0], a[0], b[0], *merge_pair(a[3], a[4], b[3], b[4], a[2], b[2])))
+    return pd.DataFrame(out, columns=["lang", "a", "b", "s_ab", "s_ba"])
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -149,13 +161,19 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     pairs = (totals.alias("x").join(totals.alias("y"), (F.col("x.lang") == F.col("y.lang")) & (F.col("x.source") < F.col("y.source")))
              .select(F.col("x.lang").alias("lang"), F.col("x.source").alias("a"), F.col("y.source").alias("b"),
                      F.col("x.p0").alias("p0_a"), F.col("y.p0").alias("p0_b"), F.col("x.v").alias("v")))
-    side_a = arrays.join(pairs, (arrays["lang"] == pairs["lang"]) & (arrays["source"] == pairs["a"])).select(
-        pairs["lang"], "a", "b", "block", F.col("ids").alias("ids_a"), F.col("ps").alias("p_a"), "p0_a", "p0_b")
-    side_b = arrays.join(pairs, (arrays["lang"] == pairs["lang"]) & (arrays["source"] == pairs["b"])).select(
-        pairs["lang"], "a", "b", "block", F.col("ids").alias("ids_b"), F.col("ps").alias("p_b"), "p0_a", "p0_b")
-    tasks = side_a.join(side_b, ["lang", "a", "b", "block", "p0_a", "p0_b"], "full")
+    # Sources in tiles of SOURCES_PER_TILE: a task holds one block of two tiles and merges every pair between them.
+    tiled = (totals.where(F.col("v") > 0)
+             .withColumn("_i", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("source").cast("binary"))) - 1)
+             .withColumn("tile", F.floor(F.col("_i") / SOURCES_PER_TILE)))
+    last = tiled.groupBy("lang").agg(F.max("tile").alias("_last"))
+    dense = (tiled.join(last, "lang").join(blocks, "lang")
+             .select("lang", "source", "_i", "tile", "p0", "_last", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("block"))
+             .join(arrays, ["lang", "source", "block"], "left"))
+    dealt = dense.select("*", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_u")).select(
+        "lang", "block", F.least("tile", "_u").alias("lo"), F.greatest("tile", "_u").alias("hi"),
+        "source", "_i", "tile", "p0", "ids", "ps")
     small_batches(docs.sparkSession)
-    sums = (tasks.mapInPandas(_pair_sums, "lang string, a string, b string, s_ab long, s_ba long")
+    sums = (dealt.groupBy("lang", "block", "lo", "hi").applyInPandas(_tile_pairs, "lang string, a string, b string, s_ab long, s_ba long")
             .groupBy("lang", "a", "b").agg(F.sum("s_ab").alias("s_ab"), F.sum("s_ba").alias("s_ba")))
     whole = pairs.join(sums, ["lang", "a", "b"], "left").fillna(0, ["s_ab", "s_ba"])
     both = whole.select("lang", F.col("a").alias("source"), F.col("b").alias("item"),

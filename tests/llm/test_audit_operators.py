@@ -98,7 +98,10 @@ def brute_divergence(docs):
     return sorted(out, key=repr)
 
 
-def test_divergence_matches_brute_force(spark):
+@pytest.mark.parametrize("tile,block", [(64, 4096), (1, 2)])
+def test_divergence_matches_brute_force(spark, monkeypatch, tile, block):
+    monkeypatch.setattr(divergence, "SOURCES_PER_TILE", tile)
+    monkeypatch.setattr(divergence, "BLOCK_TERMS", block)
     base = ["Der Hund und die Katze", "der hund schläft", "Die Katze und der Hund", "Hund Hund Hund Katze",
             "und die", "Ölung und Hund"]
     docs = ([(t, "de", f"s{i % 3}") for i, t in enumerate(base * 3)]
