@@ -10,6 +10,7 @@ from credence import constants as K
 from credence.functions import labels as L
 from credence.functions import text as T
 from credence.functions import urls as U
+from credence.operators import lang_profiles as LP
 from credence.operators import profile as P
 from credence.operators.translation import translate, translation_misses
 
@@ -119,6 +120,28 @@ def detect_lang(spark, sf_dir):
     return df.select("doc_id", T.detect_lang("tokens", T.stop_word_profiles(PROFILE_CODES)).alias("detected"))
 
 
+_GRAMS = ("flatten(list_transform(regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+'), "
+          "lambda x: list_transform(range(1, length(x) + 1), lambda i: substr(' ' || x || ' ', i, 3))))")
+
+
+@query("detect_lang_profile", f"""WITH g AS (SELECT doc_id, lang, unnest({_GRAMS}) AS gram FROM documents),
+  prof AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, encode(gram)) - 1 AS r
+    FROM (SELECT lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL AND lang <> '' GROUP BY ALL) QUALIFY r < {LP.PROFILE_SIZE}),
+  own AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, encode(gram)) - 1 AS rank
+    FROM (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL) QUALIFY rank < {LP.PROFILE_SIZE}),
+  kept AS (SELECT doc_id, count(*) AS m FROM own GROUP BY doc_id),
+  near AS (SELECT doc_id, lang, sum({LP.PROFILE_SIZE} - abs(rank - r)) AS saved FROM own JOIN prof USING (gram) GROUP BY ALL),
+  best AS (SELECT doc_id, lang, m * {LP.PROFILE_SIZE} - saved AS distance FROM near JOIN kept USING (doc_id)
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY m * {LP.PROFILE_SIZE} - saved, lang) = 1)
+SELECT d.doc_id, CASE WHEN k.m IS NOT NULL THEN coalesce(b.lang, (SELECT min(lang) FROM prof)) END AS lang_pred,
+  CAST(CASE WHEN k.m IS NOT NULL AND (SELECT min(lang) FROM prof) IS NOT NULL THEN coalesce(b.distance, k.m * {LP.PROFILE_SIZE}) END AS BIGINT) AS distance
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN best b USING (doc_id)""")
+def detect_lang_profile(spark, sf_dir):
+    """Trigram profiles fitted on the labelled documents, every document told by out-of-place distance."""
+    docs = documents(spark, sf_dir)
+    return LP.detect(docs, LP.fit_profiles(docs), "doc_id")
+
+
 # the documents' letters written in other scripts
 _ABC = "abcdefghijklmnopqrstuv"
 _OTHER = {1: "".join(chr(0x05D0 + i) for i in range(22)), 2: "".join(chr(0x0995 + i) for i in range(19)) + "রলশ",
