@@ -11,7 +11,8 @@ the ascending, comma-joined ids of the members that end there; none: hash of '')
 Method. Turns become 96-bit ids (two hashes of role and text); equal rebuilt conversations are folded into one
 sequence with a weight. Sequences are cut into prefix shards: a prefix of depth d held by at most SHARD_SEQS
 distinct sequences is a shard; longer-shared (hot) prefixes are split one turn deeper, level by level, so no
-shard grows with a hot opening. Each shard is one task: it numbers its turns densely, packs a double-array trie
+shard grows with a hot opening. Shards are dealt by prefix hash into buckets of about SHARD_SEQS sequences; a
+bucket is one task: it numbers its turns densely, packs a double-array trie
 (BASE and CHECK arrays, a child of slot t with turn c at BASE[t] + c, owned if CHECK[BASE[t] + c] == t), walks
 every sequence through it for member counts and minima, and sums subtrees bottom-up. The upper nodes that
 shards share (the root and every hot prefix) are merged globally: members from every sequence below them,
@@ -126,14 +127,18 @@ def double_array(labels: list[list[int]]) -> tuple[list[int], list[int], list[in
     return base, check, order
 
 
-def _shard(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """One prefix shard: all its sequences share their first `s` turns; nodes from depth s down."""
-    s = int(frame["s"].iloc[0])
-    h1 = [np.asarray(x, dtype=np.int64)[s:] for x in frame["h1s"]]
-    h2 = [np.asarray(x, dtype=np.int64)[s:] for x in frame["h2s"]]
+def _shards(frame: pd.DataFrame) -> pd.DataFrame:
+    """A bucket of prefix shards in one double-array trie; nodes at or below their shard's depth are emitted.
+
+    Sequences of one shard share its first `s` turns, and every sequence through a node at depth >= s of that
+    shard belongs to the shard, so those nodes are whole here; the nodes above (upper nodes) are skipped.
+    """
+    depth_of = frame["s"].to_numpy(np.int64)
+    h1 = [np.asarray(x, dtype=np.int64) for x in frame["h1s"]]
+    h2 = [np.asarray(x, dtype=np.int64) for x in frame["h2s"]]
     nb = [np.asarray(x, dtype=np.int64) for x in frame["nb"]]
     pairs = np.concatenate([np.stack([a, b], 1) for a, b in zip(h1, h2)] or [np.empty((0, 2), np.int64)])
-    uniq, inverse = np.unique(pairs, axis=0, return_inverse=True) if len(pairs) else (pairs, np.empty(0, np.int64))
+    inverse = (np.unique(pairs, axis=0, return_inverse=True)[1] if len(pairs) else np.empty(0, np.int64))
     inverse = np.asarray(inverse).reshape(-1) + 1
     cuts = np.cumsum([0] + [len(a) for a in h1])
     labels = [inverse[cuts[i]:cuts[i + 1]].tolist() for i in range(len(h1))]
@@ -144,24 +149,25 @@ def _shard(key, frame: pd.DataFrame) -> pd.DataFrame:
     least = np.full(size, np.iinfo(np.int64).max)
     depth = np.zeros(size, np.int64)
     last = np.zeros(size, np.int64)
+    top = np.full(size, np.iinfo(np.int64).max)
     kids = np.zeros(size, np.int64)
     w, m = frame["w"].to_numpy(np.int64), frame["m"].to_numpy(np.int64)
     ends = []
-    root_last = int(nb[0][s - 1]) if s > 0 else 0
     for i in range(len(labels)):
         t = 0
         members[0] += w[i]
         least[0] = min(least[0], m[i])
+        top[0] = min(top[0], depth_of[i])
         for d, c in enumerate(labels[i]):
             nxt = base[t] + c
             assert check[nxt] == t
             t = nxt
             members[t] += w[i]
             least[t] = min(least[t], m[i])
-            depth[t] = s + d + 1
-            last[t] = nb[i][s + d]
+            depth[t] = d + 1
+            last[t] = nb[i][d]
+            top[t] = depth_of[i]
         ends.append(t)
-    depth[0], last[0] = s, root_last
     parent = np.full(size, -1)
     for t in order[1:]:
         parent[t] = check[t]
@@ -174,14 +180,15 @@ def _shard(key, frame: pd.DataFrame) -> pd.DataFrame:
         if t:
             leaves[parent[t]] += leaves[t]
             saved[parent[t]] += saved[t]
-    slots = np.asarray(order)
+    slots = np.asarray([t for t in order if depth[t] >= top[t]], dtype=np.int64)
     nodes = pd.DataFrame({
         "kind": "node", "conv_id": least[slots], "depth": depth[slots],
-        "parent_conv_id": pd.array([None if p < 0 else int(least[p]) for p in parent[slots]], dtype="Int64"),
+        "parent_conv_id": pd.array([None if depth[t] == top[t] else int(least[parent[t]]) for t in slots], dtype="Int64"),
         "n_convs": members[slots], "n_children": kids[slots], "n_leaves": leaves[slots], "saved_tokens": saved[slots],
         "h1s": None, "h2s": None})
+    at = np.asarray(ends, dtype=np.int64)
     done = pd.DataFrame({
-        "kind": "end", "conv_id": least[np.asarray(ends, dtype=np.int64)], "depth": depth[np.asarray(ends, dtype=np.int64)],
+        "kind": "end", "conv_id": least[at], "depth": depth[at],
         "parent_conv_id": pd.array([None] * len(ends), dtype="Int64"), "n_convs": 0, "n_children": 0, "n_leaves": 0,
         "saved_tokens": 0, "h1s": frame["h1s"].tolist(), "h2s": frame["h2s"].tolist()})
     return pd.concat([nodes, done], ignore_index=True)
@@ -236,7 +243,10 @@ def prefix_trie(conversations: DataFrame, shard_seqs: int = SHARD_SEQS) -> DataF
 
     small_batches(spark)
     keyed_shards = sharded.select("*", *_prefix(F.col("s")))
-    local = stored(keyed_shards.groupBy("k1", "k2").applyInPandas(_shard, NODE_SCHEMA), "trie-shards")
+    # Shards are dealt by their prefix into buckets of about SHARD_SEQS sequences: one trie a bucket.
+    buckets = max(1, -(-sharded.count() // shard_seqs))
+    local = stored(keyed_shards.withColumn("_bucket", F.pmod(F.xxhash64("k1", "k2"), F.lit(buckets)))
+                   .groupBy("_bucket").applyInPandas(_shards, NODE_SCHEMA), "trie-shards")
 
     # Upper nodes: the root and every hot prefix, from every sequence that passes or ends there.
     upper_from = (sharded.select("h1s", "h2s", "nb", "w", "m", F.col("s").alias("top"), F.lit(False).alias("_end"))
