@@ -13,6 +13,7 @@ from credence.operators import explain as E
 from credence.operators import features as X
 from credence.operators import scoring as C
 from credence.operators import vectors as V
+from credence.operators import word_vectors as WV
 from credence.operators.layout import cut_lineage
 from credence.operators.profile import vector_tokens
 from credence.operators.translation import translate
@@ -293,3 +294,33 @@ def explain_batch(spark, sf_dir):
         r6(r["prob_fake"]).alias("prob_fake"), joined_tokens(r["top_tokens"]).alias("tokens"),
         r["translation"]["did_translate"].alias("did_translate"), r["translation"]["src_lang"].alias("src_lang"),
         r["translation"]["tgt_lang"].alias("tgt_lang"))
+
+
+_PAIRS = ("flatten(list_transform(range(1, {w} + 1), lambda d: list_transform(range(1, len(t) - d + 1), "
+          "lambda i: {{'word': t[i], 'context': t[i + d]}})))")
+
+
+@query("word_ppmi", f"""WITH t AS (SELECT {S.vector_tokens('text')} AS t FROM documents),
+  voc AS (SELECT w AS word FROM (SELECT unnest(t) AS w FROM t) GROUP BY w HAVING count(*) >= {WV.MIN_COUNT}),
+  f AS (SELECT {_PAIRS.format(w=WV.WINDOW)} AS f FROM t WHERE len(t) > 1),
+  p AS (SELECT unnest(list_concat(f, list_transform(f, lambda x: {{'word': x.context, 'context': x.word}}))) AS x FROM f),
+  c AS (SELECT x.word AS word, x.context AS context, count(*) AS n FROM p
+        WHERE x.word IN (SELECT word FROM voc) AND x.context IN (SELECT word FROM voc) GROUP BY ALL),
+  m AS (SELECT word, sum(n) AS nw FROM c GROUP BY word),
+  s AS (SELECT c.word, c.context, c.n, ln(CAST(c.n AS DOUBLE) * CAST((SELECT sum(n) FROM c) AS DOUBLE)
+        / (CAST(m1.nw AS DOUBLE) * m2.nw)) AS ppmi FROM c JOIN m m1 ON m1.word = c.word JOIN m m2 ON m2.word = c.context)
+SELECT word, context, n, {r6s('ppmi')} AS ppmi FROM s WHERE ppmi > 0""")
+def word_ppmi(spark, sf_dir):
+    return WV.cooccurrence_ppmi(table(spark, sf_dir, "documents"), "text").withColumn("ppmi", r6("ppmi"))
+
+
+@query("word_vectors")
+def word_vectors(spark, sf_dir):
+    return WV.fit_word_vectors(WV.cooccurrence_ppmi(table(spark, sf_dir, "documents"), "text"))
+
+
+@query("embed_fitted")
+def embed_fitted(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    vectors = cut_lineage(WV.fit_word_vectors(WV.cooccurrence_ppmi(docs, "text")))
+    return WV.embed_documents(docs, "doc_id", "text", vectors)
