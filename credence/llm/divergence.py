@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from credence.llm.common import small_batches
+from credence.llm.common import small_batches, stored
 
 # Fixed values of the contract.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -130,12 +130,13 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """(lang, source, part, item, value, rank) of every group."""
     rows = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"),
                        terms(text).alias("_t"))
-    groups = rows.select("lang", "source").distinct()
-    kept = (rows.select("lang", F.explode(F.array_distinct("_t")).alias("term")).groupBy("lang", "term").count()
-            .where(F.col("count") >= MIN_DOCS).select("lang", "term"))
+    # Two passes over the documents, each stored once: every later step reads these term tables only.
+    groups = stored(rows.select("lang", "source").distinct(), "divergence-groups")
+    kept = stored(rows.select("lang", F.explode(F.array_distinct("_t")).alias("term")).groupBy("lang", "term").count()
+                  .where(F.col("count") >= MIN_DOCS).select("lang", "term"), "divergence-kept")
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    counts = (rows.select("lang", "source", F.explode("_t").alias("term")).groupBy("lang", "source", "term")
-              .agg(F.count(F.lit(1)).alias("c")).join(kept, ["lang", "term"]))
+    counts = stored(rows.select("lang", "source", F.explode("_t").alias("term")).groupBy("lang", "source", "term")
+                    .agg(F.count(F.lit(1)).alias("c")).join(kept, ["lang", "term"]), "divergence-counts")
     totals = (groups.join(sizes, "lang", "left").join(counts.groupBy("lang", "source").agg(F.sum("c").alias("n")),
                                                       ["lang", "source"], "left")
               .fillna(0, ["v", "n"]).withColumn("p0", F.when(F.col("v") > 0, price("0", "n", "v"))))
