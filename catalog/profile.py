@@ -98,6 +98,38 @@ for _k, _v in B.ENTITIES.items():
 _TEXT = f"trim(regexp_replace({_TEXT}, '{S.WS}+', ' ', 'g'))"
 
 
+def _plain_sql(c):
+    out = f"regexp_replace({c}, '{B.TAGS}', ' ', 'g')"
+    for _k, _v in B.ENTITIES.items():
+        out = f"replace({out}, '{_k}', '{_v.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace({out}, '{S.WS}+', ' ', 'g'))"
+
+
+_CLEAN = "coalesce(html, '')"
+for _p in B.NO_TEXT:
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', ' ', 'g')"
+
+
+@query("page_main_text", f"""WITH b AS (SELECT page_id, unnest(regexp_split_to_array({_CLEAN}, '{B.BLOCK_BREAK}')) AS b,
+      unnest(range(1, len(regexp_split_to_array({_CLEAN}, '{B.BLOCK_BREAK}')) + 1)) AS i FROM pages),
+  m AS (SELECT page_id, i, {_plain_sql('b')} AS t,
+      list_sum(list_transform(regexp_extract_all(b, '{B.LINKS}', 1), lambda a: length({_plain_sql('a')}))) AS l FROM b),
+  c AS (SELECT page_id, i, t, len(string_split(t, ' ')) AS w, coalesce(l, 0) / length(t) AS d FROM m WHERE t <> ''),
+  k AS (SELECT *, CASE WHEN w >= {B.GOOD_WORDS} AND d <= {B.MAX_LINK_DENSITY} THEN 'good'
+      WHEN d > {B.MAX_LINK_DENSITY} THEN 'bad' ELSE 'short' END AS cls FROM c),
+  n AS (SELECT *, last_value(CASE WHEN cls <> 'short' THEN cls END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+      first_value(CASE WHEN cls <> 'short' THEN cls END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i
+        ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM k),
+  f AS (SELECT *, coalesce(cls = 'good' OR (cls = 'short' AND before = 'good' AND after = 'good'), false) AS keep FROM n),
+  g AS (SELECT page_id, count(*) AS n_blocks, sum(CAST(keep AS BIGINT)) AS n_kept,
+      coalesce(string_agg(CASE WHEN keep THEN t END, ' ' ORDER BY i), '') AS main_text FROM f GROUP BY page_id)
+SELECT p.page_id, coalesce(g.main_text, '') AS main_text, CAST(coalesce(g.n_blocks, 0) AS BIGINT) AS n_blocks,
+  CAST(coalesce(g.n_kept, 0) AS BIGINT) AS n_kept FROM pages p LEFT JOIN g USING (page_id)""")
+def page_main_text(spark, sf_dir):
+    return B.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("extract_page_text", f"SELECT page_id, url, {_TEXT} AS scraped_text FROM pages")
 def extract_page_text(spark, sf_dir):
     return B.extract_page_text(table(spark, sf_dir, "pages")).drop("html")
