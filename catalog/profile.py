@@ -10,6 +10,7 @@ from credence import constants as K
 from credence.functions import text as T
 from credence.operators import backfill as B
 from credence.operators import profile as P
+from credence.operators.layout import cut_lineage
 from credence.sources.canonical import add_defaults
 
 PROFILED = ["title", "text", "url", "source", "category", "author", "date_published", "type", "label", "lang"]
@@ -28,6 +29,21 @@ def profile_columns(spark, sf_dir):
     return out.withColumn("samples", F.array_join("samples", "|"))
 
 
+@query("profile_sketches")
+def profile_sketches(spark, sf_dir):
+    """Sketch profile of the article columns: estimates, bottom-k samples by hash."""
+    return P.profile_report(P.profile_sketches(canonical(spark, sf_dir), PROFILED))
+
+
+@query("profile_increments")
+def profile_increments(spark, sf_dir):
+    """The same profile from two stored increments of the articles (split by a hash of doc_id), merged."""
+    df = canonical(spark, sf_dir)
+    half = F.xxhash64("doc_id") % 2 == 0
+    parts = [cut_lineage(P.profile_sketches(df.where(cond), PROFILED)) for cond in (half, ~half)]
+    return P.profile_report(P.merge_profiles(parts[0].unionByName(parts[1])))
+
+
 @query("code_frequencies", f"""WITH {CANON} SELECT 'type' AS column_name, type AS value, count(*) AS n FROM canon GROUP BY type
     UNION ALL SELECT 'category', category, count(*) FROM canon GROUP BY category""")
 def code_frequencies(spark, sf_dir):
