@@ -42,6 +42,14 @@ def read_articles(spark, sf_dir):
     return evaluated(R.read_articles(spark, path))
 
 
+@query("read_articles_split", f"WITH {CANON} {ARTICLES}")
+def read_articles_split(spark, sf_dir):
+    """The same file read by many tasks: records cut where the quote parity of all lines before them is even."""
+    path = work_path(spark, "articles")
+    W.write_csv(articles(spark, sf_dir), path)
+    return evaluated(R.read_csv_split(spark, path, R.ARTICLE_SCHEMA))
+
+
 @query("read_fact_checks", f"""WITH {CANON} SELECT CAST(doc_id AS VARCHAR) AS id, {VERDICT} AS label, text AS statement,
     CAST(doc_id % 7 AS INTEGER) AS barely_true_c, CAST(CASE WHEN doc_id % 10 <> 3 THEN doc_id % 2 END AS INTEGER) AS pants_on_fire_c FROM canon""")
 def read_fact_checks(spark, sf_dir):
