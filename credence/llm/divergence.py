@@ -13,7 +13,8 @@ value descending, then item by UTF-8 bytes.
 
 Method (pair part): pair-task sparse merge. Kept terms get ids (hash block, rank in block); each group stores, per
 block, its sorted (id, price) arrays of the terms it holds (c > 0). Both groups' arrays of a block are co-grouped
-per unordered pair of sources, and a galloping intersection over the two sorted id arrays finds shared terms;
+per unordered pair of sources, and a galloping intersection over the two sorted id arrays finds shared terms
+(a linear merge where neither array is GALLOP_RATIO times the other, the case galloping cannot shorten);
 shared, one-sided (the other side priced at its count-0 price) and absent terms are priced both ways at once.
 Absent terms need no rows: value = V f(p0, p0') + sum over held terms of (f - f(p0, p0')). Sources are dealt
 into tiles of SOURCES_PER_TILE; a task takes one block of two tiles (or of one) and merges every pair between
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from credence.llm.common import small_batches, stored
+from credence.operators.layout import broadcast_if_small
 
 # Fixed values of the contract.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -43,6 +45,8 @@ TERM_RANKS = 200
 # Kept terms in one id block, and sources in one tile: a pair task holds one block of at most two tiles.
 BLOCK_TERMS = 4096
 SOURCES_PER_TILE = 64
+# Galloping takes over from a linear merge once one array is this many times longer than the other.
+GALLOP_RATIO = 8
 
 
 # The ASCII characters outside terms: the complement of TERM's ranges.
@@ -93,7 +97,11 @@ def merge_pair(ids_a, p_a, ids_b, p_b, p0_a: int, p0_b: int) -> tuple[int, int]:
     """Sum over the terms either side holds of f - f(p0, p0'), both ways: (a against b, b against a)."""
     ids_a, p_a = np.asarray(ids_a, dtype=np.int64), np.asarray(p_a, dtype=np.int64)
     ids_b, p_b = np.asarray(ids_b, dtype=np.int64), np.asarray(p_b, dtype=np.int64)
-    if len(ids_a) <= len(ids_b):
+    small, big = sorted((len(ids_a), len(ids_b)))
+    if small * GALLOP_RATIO > big:
+        # sizes alike: galloping would step one by one, so a linear merge in numpy does the same work faster
+        _, ia, ib = np.intersect1d(ids_a, ids_b, assume_unique=True, return_indices=True)
+    elif len(ids_a) <= len(ids_b):
         ia, ib = gallop(ids_a, ids_b)
     else:
         ib, ia = gallop(ids_b, ids_a)
@@ -135,8 +143,10 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     kept = stored(rows.select("lang", F.explode(F.array_distinct("_t")).alias("term")).groupBy("lang", "term").count()
                   .where(F.col("count") >= MIN_DOCS).select("lang", "term"), "divergence-kept")
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    counts = stored(rows.select("lang", "source", F.explode("_t").alias("term")).groupBy("lang", "source", "term")
-                    .agg(F.count(F.lit(1)).alias("c")).join(kept, ["lang", "term"]), "divergence-counts")
+    # only kept terms are counted: a kept table of checked size meets the terms before the map-side sums
+    counts = stored(rows.select("lang", "source", F.explode("_t").alias("term"))
+                    .join(broadcast_if_small(kept), ["lang", "term"]).groupBy("lang", "source", "term")
+                    .agg(F.count(F.lit(1)).alias("c")), "divergence-counts")
     totals = (groups.join(sizes, "lang", "left").join(counts.groupBy("lang", "source").agg(F.sum("c").alias("n")),
                                                       ["lang", "source"], "left")
               .fillna(0, ["v", "n"]).withColumn("p0", F.when(F.col("v") > 0, price("0", "n", "v"))))
@@ -174,8 +184,8 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         "lang", "block", F.least("tile", "_u").alias("lo"), F.greatest("tile", "_u").alias("hi"),
         "source", "_i", "tile", "p0", "ids", "ps")
     small_batches(docs.sparkSession)
-    sums = (dealt.groupBy("lang", "block", "lo", "hi").applyInPandas(_tile_pairs, "lang string, a string, b string, s_ab long, s_ba long")
-            .groupBy("lang", "a", "b").agg(F.sum("s_ab").alias("s_ab"), F.sum("s_ba").alias("s_ba")))
+    sums = stored(dealt.groupBy("lang", "block", "lo", "hi").applyInPandas(_tile_pairs, "lang string, a string, b string, s_ab long, s_ba long")
+                  .groupBy("lang", "a", "b").agg(F.sum("s_ab").alias("s_ab"), F.sum("s_ba").alias("s_ba")), "divergence-pairs")
     whole = pairs.join(sums, ["lang", "a", "b"], "left").fillna(0, ["s_ab", "s_ba"])
     both = whole.select("lang", F.col("a").alias("source"), F.col("b").alias("item"),
                         F.when(F.col("v") == 0, 0).otherwise(F.col("v") * diverge("p0_a", "p0_b") + F.col("s_ab")).alias("value")

@@ -115,8 +115,10 @@ def test_divergence_matches_brute_force(spark, monkeypatch, tile, block):
     assert divergence.audit(spark.createDataFrame([], "text string, lang string, source string")).count() == 0
 
 
-def test_gallop_and_merge():
+@pytest.mark.parametrize("ratio", [8, 10 ** 9, 1])
+def test_gallop_and_merge(monkeypatch, ratio):
     import numpy as np
+    monkeypatch.setattr(divergence, "GALLOP_RATIO", ratio)
     a, b = np.array([2, 5, 9, 40]), np.array([1, 2, 3, 5, 8, 9, 10, 39, 41, 50])
     assert [x.tolist() for x in gallop(a, b)] == [[0, 1, 2], [1, 3, 5]]
     assert [x.tolist() for x in gallop(np.array([], dtype=np.int64), b)] == [[], []]
