@@ -138,15 +138,16 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """(lang, source, part, item, value, rank) of every group."""
     rows = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"),
                        terms(text).alias("_t"))
-    # Two passes over the documents, each stored once: every later step reads these term tables only.
+    # One pass over the documents: each row's term counts, stored; kept terms and group counts both read it.
     groups = stored(rows.select("lang", "source").distinct(), "divergence-groups")
-    kept = stored(rows.select("lang", F.explode(F.array_distinct("_t")).alias("term")).groupBy("lang", "term").count()
-                  .where(F.col("count") >= MIN_DOCS).select("lang", "term"), "divergence-kept")
+    per_doc = stored(rows.withColumn("_r", F.monotonically_increasing_id())
+                     .select("lang", "source", "_r", F.explode("_t").alias("term"))
+                     .groupBy("lang", "source", "_r", "term").agg(F.count(F.lit(1)).alias("tf")), "divergence-doc-terms")
+    kept = stored(per_doc.groupBy("lang", "term").count().where(F.col("count") >= MIN_DOCS).select("lang", "term"),
+                  "divergence-kept")
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    # only kept terms are counted: a kept table of checked size meets the terms before the map-side sums
-    counts = stored(rows.select("lang", "source", F.explode("_t").alias("term"))
-                    .join(broadcast_if_small(kept), ["lang", "term"]).groupBy("lang", "source", "term")
-                    .agg(F.count(F.lit(1)).alias("c")), "divergence-counts")
+    counts = stored(per_doc.groupBy("lang", "source", "term").agg(F.sum("tf").alias("c")).join(kept, ["lang", "term"]),
+                    "divergence-counts")
     totals = (groups.join(sizes, "lang", "left").join(counts.groupBy("lang", "source").agg(F.sum("c").alias("n")),
                                                       ["lang", "source"], "left")
               .fillna(0, ["v", "n"]).withColumn("p0", F.when(F.col("v") > 0, price("0", "n", "v"))))
