@@ -12,6 +12,7 @@ from credence.functions.hashing import uniform
 from credence.operators import augment as A
 from credence.operators import metrics as M
 from credence.operators import prompts as P
+from credence.operators.layout import cut_lineage
 
 M32 = 4294967296
 
@@ -120,7 +121,9 @@ def augmentation_sweep(spark, sf_dir):
     grid = A.noise_grid(labelled, "doc_id", "text", GRID)
     scored = grid.withColumn("p_fake", uniform(F.md5("text")) * 0.6 + (1 - F.col("label")) * 0.4)
     keys = ["noise", "intensity"]
-    return M.average_precision(M.curve_points(scored, groups=keys), keys).withColumn("pr_auc", r6("pr_auc"))
+    # the curve reads its counts several times: texts are noised and scored once
+    counts = cut_lineage(M.score_counts(scored, "p_fake", "label", keys))
+    return M.average_precision(M.cumulated(counts, keys), keys).withColumn("pr_auc", r6("pr_auc"))
 
 
 HEAD = "'" + K.PROMPT_INSTRUCTION + "' || chr(10)"
