@@ -164,6 +164,9 @@ def backfill_candidates(spark, sf_dir):
     FROM gaps LEFT JOIN best ON gaps.url = best.url""")
 def backfill_text(spark, sf_dir):
     pages = B.extract_page_text(table(spark, sf_dir, "pages")).selectExpr("page_id % 250 AS slot", "scraped_text")
+    # the longest text of a link is the longest of its slots' longest ones: pages are compared before the join
+    pages = pages.filter(F.col("scraped_text").isNotNull()).groupBy("slot").agg(
+        F.max(F.struct(F.length("scraped_text"), "scraped_text"))["scraped_text"].alias("scraped_text"))
     fetched = (canonical(spark, sf_dir).selectExpr("doc_id % 250 AS slot", "url").join(pages, "slot").drop("slot"))
     return B.backfill_text(gaps(spark, sf_dir), fetched).select("doc_id", "text")
 

@@ -87,12 +87,18 @@ def backfill_candidates(df: DataFrame) -> DataFrame:
 
 
 def backfill_text(df: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Take the fetched text where an article has none; several fetches of a link keep the longest."""
-    best = fetched.filter(F.col("scraped_text").isNotNull()).groupBy("url").agg(
-        F.max(F.struct(F.length("scraped_text"), "scraped_text"))["scraped_text"].alias("_fetched"))
-    joined = lookup_join(df, best, "url")
+    """Take the fetched text where an article has none; several fetches of a link keep the longest.
+
+    Only articles without text are looked up: texts that are there stay where they lie, and only fetches of
+    links that are asked for are compared.
+    """
     empty = F.col("text").isNull() | (F.col("text") == "")
-    return joined.withColumn("text", F.when(empty, F.col("_fetched")).otherwise(F.col("text"))).drop("_fetched")
+    missing = df.filter(empty)
+    asked = missing.select("url").distinct()
+    best = fetched.filter(F.col("scraped_text").isNotNull()).join(asked, "url", "left_semi").groupBy("url").agg(
+        F.max(F.struct(F.length("scraped_text"), "scraped_text"))["scraped_text"].alias("_fetched"))
+    filled = lookup_join(missing, best, "url").withColumn("text", F.col("_fetched")).drop("_fetched")
+    return df.filter(~empty).unionByName(filled)
 
 
 def inject_predictions(df: DataFrame, predictions: DataFrame, key: str, column: str,
