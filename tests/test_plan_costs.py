@@ -74,3 +74,18 @@ def test_hashed_embedding_has_no_word_counts(spark):
     out = V.hashed_embedding(df, "id", "t", 8)
     assert abs(sum(r.value ** 2 for r in out.collect()) - 1) < 1e-9
     assert "count(1)" not in plan(out)
+
+
+def test_char_grams_are_counted_beside_the_text(spark, monkeypatch):
+    rows = [(1, "Abc  de\tabc"), (1, "a abc"), (None, "abc xyz"), (2, None), (3, " "), (4, "xyz ÄÖabcd"), (2 ** 60 + 1, "abc")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    want, want_voc = V.tfidf(V.char_terms(df, "id", "t", 3, 5), df, "id", 2, 12)
+    calls = []
+    monkeypatch.setattr(V, "char_terms", lambda *a: calls.append(a))
+    for memory in (V.WORD_MEMORY, 1):
+        monkeypatch.setattr(V, "WORD_MEMORY", memory)
+        got, voc = V.tfidf_char(df, "id", "t", 3, 5, min_df=2, max_features=12)
+        assert sorted(map(tuple, voc.collect())) == sorted(map(tuple, want_voc.collect()))
+        rounded = [sorted((str(r.id), r.term, round(r.weight, 9)) for r in x.collect()) for x in (got, want)]
+        assert rounded[0] == rounded[1] and len(rounded[0]) > 12
+    assert not calls
