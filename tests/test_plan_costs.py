@@ -89,3 +89,13 @@ def test_char_grams_are_counted_beside_the_text(spark, monkeypatch):
         rounded = [sorted((str(r.id), r.term, round(r.weight, 9)) for r in x.collect()) for x in (got, want)]
         assert rounded[0] == rounded[1] and len(rounded[0]) > 12
     assert not calls
+
+
+def test_embeddings_are_summed_in_place(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa"), (2, "zz"), (3, None), (None, "bb")], "id long, t string")
+    vectors = spark.createDataFrame([("aa", [1.0, 0.0]), ("bb", [0.0, 2.0])], "word string, vector array<float>")
+    out = WV.embed_documents(docs, "id", "t", vectors)
+    found = {r.id: r.embedding for r in out.collect()}
+    assert found[2] is None and found[3] is None and all(0 < x < 1 for x in found[1])
+    assert "collect_list" not in plan(out)
+    assert [r.embedding for r in WV.embed_documents(docs, "id", "t", vectors.limit(0)).collect()] == [None] * 4
