@@ -216,8 +216,7 @@ def stream_fit(spark, sf_dir):
     """Validation quality of the last stored version of a term model trained on an arriving stream."""
     df = canonical(spark, sf_dir).filter("label IS NOT NULL")
     train, val = halves(df.select("doc_id", "label", V.model_text(df).alias("text")))
-    counts = V.term_counts(V.word_terms(train, "doc_id", "text"), "doc_id")
-    vocabulary = cut_lineage(V.fit_vocabulary(counts, train.agg(F.count("*")).scalar(), 5, 200_000))
+    vocabulary = cut_lineage(V.word_vocabulary(train, "doc_id", "text"))
 
     def step(coef, bias, batch):
         weights = cut_lineage(V.transform(batch, vocabulary, "doc_id", "text", max_features=200_000))

@@ -9,6 +9,7 @@ from credence.operators import lang_profiles as LP
 from credence.operators import profile as P
 from credence.operators import vectors as V
 from credence.operators import word_vectors as WV
+from credence.operators.layout import solver_rows
 
 
 def plan(df):
@@ -99,3 +100,33 @@ def test_embeddings_are_summed_in_place(spark):
     assert found[2] is None and found[3] is None and all(0 < x < 1 for x in found[1])
     assert "collect_list" not in plan(out)
     assert [r.embedding for r in WV.embed_documents(docs, "id", "t", vectors.limit(0)).collect()] == [None] * 4
+
+
+def test_word_grams_are_counted_beside_the_text(spark, monkeypatch):
+    rows = [(1, "Aa bb aa, bb cc"), (1, "aa x bb"), (None, "aa bb"), (2, None), (3, " "), (4, "ÄÖ aa bb"), (2 ** 60 + 1, "cc bb")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    want, want_voc = V.tfidf(V.word_terms(df, "id", "t"), df, "id", 2, 4)
+    index = V.term_index(want_voc, 4)
+    want_vectors = V.to_vectors(want, index, df.select("id"), "id", 4)
+    calls = []
+    monkeypatch.setattr(V, "word_terms", lambda *a: calls.append(a))
+    for memory in (V.GRAM_MEMORY, 1):
+        monkeypatch.setattr(V, "GRAM_MEMORY", memory)
+        got, voc = V.tfidf_word(df, "id", "t", min_df=2, max_features=4)
+        assert sorted(map(tuple, voc.collect())) == sorted(map(tuple, want_voc.collect()))
+        for weights in (got, V.transform(df, voc, "id", "t", max_features=4)):
+            rounded = [sorted((str(r.id), r.term, round(r.weight, 9)) for r in x.collect()) for x in (weights, want)]
+            assert rounded[0] == rounded[1] and len(rounded[0]) > 8
+        vectors = V.text_vectors(V.word_texts(df, "id", "t"), voc, df.select("id"), "id", V.word_grams_of(2), 4)
+        cells = [sorted((str(r.id), r.features.indices.tolist(), r.features.values.round(9).tolist()) for r in x.collect())
+                 for x in (vectors, want_vectors)]
+        assert cells[0] == cells[1]
+    assert not calls
+
+
+def test_solvers_run_in_few_tasks(spark):
+    rows = spark.range(1000).repartition(64)
+    cores = spark.sparkContext.defaultParallelism
+    assert solver_rows(rows).rdd.getNumPartitions() == cores
+    assert solver_rows(rows, 100).rdd.getNumPartitions() == max(10, cores)
+    assert solver_rows(rows).count() == 1000
