@@ -27,8 +27,11 @@ Other columns are ignored.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,11 +56,57 @@ GALLOP_RATIO = 8
 BREAKS = "".join(chr(c) for lo, hi in ((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)) for c in range(lo, hi + 1))
 
 
+def spaced(text: str = "text"):
+    """A text column (null: empty) with A-Z down and everything outside terms as spaces, by one translate."""
+    return F.translate(F.coalesce(F.col(text), F.lit("")), UPPER + BREAKS, LOWER + " " * len(BREAKS))
+
+
 def terms(text: str = "text"):
-    """The terms of a text column (null: none): equal to extracting TERM after lower-casing A-Z, by one
-    translate (A-Z down, breaks to spaces) and a split, at a sixth of the regular expression's CPU."""
-    spaced = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER + BREAKS, LOWER + " " * len(BREAKS))
-    return F.array_remove(F.split(spaced, " "), "")
+    """The terms of a text column (null: none): equal to extracting TERM after lower-casing A-Z, at a sixth of the
+    regular expression's CPU."""
+    return F.array_remove(F.split(spaced(text), " "), "")
+
+
+# (group, term) entries of documents that a task adds up at once: about 100 MB
+ENTRIES = 2_000_000
+
+
+class _Numbers(dict):
+    """Numbers in the order of first sight."""
+
+    def __missing__(self, name):
+        number = self[name] = len(self)
+        return number
+
+
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, text) rows to (lang, source, term, c, d): occurrences and documents, summed over many documents."""
+    groups, names, codes, times, size = _Numbers(), _Numbers(), [], [], 0
+
+    def sums() -> Iterator[pa.RecordBatch]:
+        found, place = np.unique(np.concatenate(codes), return_inverse=True)
+        c = np.bincount(place, np.concatenate(times), len(found)).astype(np.int64)
+        d = np.bincount(place, minlength=len(found)).astype(np.int64)
+        keys, words = list(groups), pa.array(list(names), pa.string())
+        langs, sources = (pa.array([k[i] for k in keys], pa.string()) for i in (0, 1))
+        for at in range(0, len(found), 100_000):
+            part = slice(at, at + 100_000)
+            group, term = pa.array(found[part] >> 32), pa.array(found[part] & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), words.take(term), pa.array(c[part]), pa.array(d[part])],
+                                             ["lang", "source", "term", "c", "d"])
+
+    for batch in batches:
+        for lang, source, text in zip(*(column.to_pylist() for column in batch.columns)):
+            words = [w for w in text.split(" ") if w]
+            ids, n = np.unique(np.fromiter(map(names.__getitem__, words), np.int64, len(words)), return_counts=True)
+            codes.append((groups[lang, source] << 32) | ids)
+            times.append(n)
+            size += len(ids)
+            if size >= ENTRIES:
+                yield from sums()
+                groups, names, codes, times, size = _Numbers(), _Numbers(), [], [], 0
+    if size:
+        yield from sums()
 
 
 def price(count: str, total: str, v: str):
@@ -136,15 +185,18 @@ def _tile_pairs(frame: pd.DataFrame) -> pd.DataFrame:
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, part, item, value, rank) of every group."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"),
-                       terms(text).alias("_t"))
-    # Two passes over the documents, each stored once: every later step reads these term tables only.
+                       spaced(text).alias("_t"))
+    # One pass over the texts, stored once: every later step reads these term tables only. The sums of a (lang, term)
+    # meet in one task, where its documents are added up over the sources.
     groups = stored(rows.select("lang", "source").distinct(), "divergence-groups")
-    kept = stored(rows.select("lang", F.explode(F.array_distinct("_t")).alias("term")).groupBy("lang", "term").count()
-                  .where(F.col("count") >= MIN_DOCS).select("lang", "term"), "divergence-kept")
+    found = (rows.mapInArrow(count_terms, "lang string, source string, term string, c long, d long")
+             .repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+             .withColumn("_docs", F.sum("d").over(Window.partitionBy("lang", "term"))))
+    counts = stored(found.where(F.col("_docs") >= MIN_DOCS).select("lang", "term", "source", "c"), "divergence-counts")
+    kept = stored(counts.select("lang", "term").distinct(), "divergence-kept")
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    counts = stored(rows.select("lang", "source", F.explode("_t").alias("term")).groupBy("lang", "source", "term")
-                    .agg(F.count(F.lit(1)).alias("c")).join(kept, ["lang", "term"]), "divergence-counts")
     totals = (groups.join(sizes, "lang", "left").join(counts.groupBy("lang", "source").agg(F.sum("c").alias("n")),
                                                       ["lang", "source"], "left")
               .fillna(0, ["v", "n"]).withColumn("p0", F.when(F.col("v") > 0, price("0", "n", "v"))))
@@ -181,7 +233,6 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     dealt = dense.select("*", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_u")).select(
         "lang", "block", F.least("tile", "_u").alias("lo"), F.greatest("tile", "_u").alias("hi"),
         "source", "_i", "tile", "p0", "ids", "ps")
-    small_batches(docs.sparkSession)
     sums = stored(dealt.groupBy("lang", "block", "lo", "hi").applyInPandas(_tile_pairs, "lang string, a string, b string, s_ab long, s_ba long")
                   .groupBy("lang", "a", "b").agg(F.sum("s_ab").alias("s_ab"), F.sum("s_ba").alias("s_ba")), "divergence-pairs")
     whole = pairs.join(sums, ["lang", "a", "b"], "left").fillna(0, ["s_ab", "s_ba"])

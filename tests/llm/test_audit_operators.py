@@ -190,3 +190,21 @@ def test_double_array_and_empty(spark):
     assert prefix_trie.prefix_trie(empty).count() == 0
     one = spark.createDataFrame([(7, None, None, None)], "conv_id long, turn long, role string, text string")
     assert sorted(map(tuple, prefix_trie.prefix_trie(one).collect()), key=repr) == brute_trie([(7, None, None, None)])
+
+
+def test_divergence_counts_terms_in_one_pass(monkeypatch):
+    """Occurrences and documents leave a task as sums, however often its memory fills; empty texts leave nothing."""
+    import pyarrow as pa
+
+    from credence.llm import divergence as DV
+    rows = [("en", "a", "x y x"), ("en", "b", " x  é "), ("de", "a", ""), ("en", "a", "x")]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("lang", "source", "_t"), r)) for r in rows])
+    for entries in (DV.ENTRIES, 1):
+        monkeypatch.setattr(DV, "ENTRIES", entries)
+        got = {}
+        for out in DV.count_terms(iter([batch, batch.slice(0, 0)])):
+            for r in out.to_pylist():
+                c, d = got.get((r["lang"], r["source"], r["term"]), (0, 0))
+                got[r["lang"], r["source"], r["term"]] = (c + r["c"], d + r["d"])
+        assert got == {("en", "a", "x"): (3, 2), ("en", "a", "y"): (1, 1), ("en", "b", "x"): (1, 1), ("en", "b", "é"): (1, 1)}
+    assert list(DV.count_terms(iter([]))) == []
