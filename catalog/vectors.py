@@ -14,7 +14,7 @@ from credence.operators import features as X
 from credence.operators import scoring as C
 from credence.operators import vectors as V
 from credence.operators import word_vectors as WV
-from credence.operators.layout import cut_lineage
+from credence.operators.layout import cut_lineage, stored
 from credence.operators.profile import vector_tokens
 from credence.operators.translation import translate
 
@@ -171,11 +171,12 @@ def coefficients(vocabulary):
     return vocabulary.select("term", ((uniform(F.col("term"), 5) - 0.5) * 4).alias("coef"))
 
 
-def linear(spark, sf_dir):
-    """Texts, their stored weights and hashed stand-in coefficients."""
+def linear(spark, sf_dir, once=False):
+    """Texts, their stored weights and hashed stand-in coefficients. Weights that are read once are not stored but
+    hashed by document."""
     keys = texts(spark, sf_dir)
-    weights, vocabulary = V.tfidf_word(keys, "doc_id", "mt", max_features=N_TERMS)
-    return keys, cut_lineage(weights), cut_lineage(coefficients(vocabulary))
+    weights, vocabulary = V.tfidf_word(keys, "doc_id", "mt", max_features=N_TERMS, together=once)
+    return keys, weights if once else stored(weights), cut_lineage(coefficients(vocabulary))
 
 
 PROBS = ["prob_fake", "prob_fake_tfidf", "prob_fake_emb"]
@@ -239,7 +240,7 @@ OCC = f"""{SCORE}, oc AS (SELECT doc_id, term, weight, weight * coef AS part, su
 
 @query("occlusion_explain", f"WITH {OCC} SELECT doc_id, term, {r6s('effect')} AS effect FROM occ")
 def occlusion_explain(spark, sf_dir):
-    _, weights, coef = linear(spark, sf_dir)
+    _, weights, coef = linear(spark, sf_dir, once=True)
     return E.occlusion(weights, coef, "doc_id", INTERCEPT).withColumn("effect", r6("effect"))
 
 
