@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from credence.operators import explain as E
 from credence.operators import models as MD
 from credence.operators import vectors as V
+from credence.operators import word_vectors as WV
 
 ODD = [(1, "Aa bb aa, bb cc"), (1, "aa x bb"), (None, "aa bb"), (None, "bb dd"), (2, None), (3, " "), (4, "ÄÖ aa bb"), (5, "cc bb dd")]
 
@@ -60,3 +61,25 @@ def test_svd_passes_stay_in_the_jvm(spark, monkeypatch):
     found = {r.id: r.components for r in rows.collect()}
     assert found[2] == [0.0, 0.0] and abs(sum(x * x for x in found[4]) - 1) < 1e-9 and len(values) == 2
     assert given[0].columns == ["features"]
+
+
+def test_pairs_and_ids_need_no_join(spark, monkeypatch):
+    texts = ["aa bb aa cc", "bb aa bb", "aa aa cc bb zz", None, "", "cc"] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = sorted((r.word, r.context, r.n, round(r.ppmi, 9)) for r in WV.cooccurrence_ppmi(df, "text").collect())
+    assert whole and not any("zz" in r[:2] for r in whole)
+    monkeypatch.setattr(WV, "TOKENS", 3)
+    monkeypatch.setattr(WV, "PAIRS", 2)
+    ppmi = WV.cooccurrence_ppmi(df.repartition(3), "text")
+    assert sorted((r.word, r.context, r.n, round(r.ppmi, 9)) for r in ppmi.collect()) == whole
+    assert "Join" not in ppmi._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_als_lets_go_of_its_shuffles(spark, monkeypatch):
+    given = {}
+    als = WV.ALS
+    monkeypatch.setattr(WV, "ALS", lambda **kw: given.update(kw) or als(**kw))
+    ppmi = spark.createDataFrame([("aa", "bb", 2, 0.5), ("bb", "aa", 2, 0.5), ("bb", "bb", 1, 0.2)], "word string, context string, n long, ppmi double")
+    found = {r.word: r.vector for r in WV.fit_word_vectors(ppmi, rank=2, iterations=3).collect()}
+    assert set(found) == {"aa", "bb"} and all(len(v) == 2 for v in found.values())
+    assert given["checkpointInterval"] == WV.CHECKPOINTS < 5
