@@ -1,12 +1,17 @@
 """Seeded text noise. Every draw depends on (key, seed, position) only, so any layout gives the same text."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credence import constants as K
-from credence.functions.hashing import hash32, position_hash, position_uniform, uniform
-from credence.operators.layout import ranked
+from credence.functions.hashing import TWO32, hash32, position_hash, position_uniform, uniform
+from credence.operators.layout import arrow_batches, ranked
 
 ARMS = ["keyboard_typos", "punct_burst", "emoji", "homoglyphs", "nikud_space"]
 MIXED_ARMS = ["keyboard_typos", "punct_burst", "nikud_space"]
@@ -18,17 +23,64 @@ def pick(values: str | list[str], draw: Column) -> Column:
     return F.element_at(items, (F.pmod(draw, F.lit(len(values))) + 1).cast("int"))
 
 
-def keyboard_typos(c: Column, seed: Column, p: float = 0.03) -> Column:
+# characters whose draws are made at once
+DRAWS = 1_000_000
+
+
+def _position_draws(seeds: np.ndarray, positions: np.ndarray, stream: int = 0) -> np.ndarray:
+    """position_hash of whole arrays."""
+    x = (seeds + positions * 2654435 + stream * 40503) % TWO32
+    x = (x * 1103515245 + 12345) % TWO32
+    x ^= x >> 15
+    x = (x * 1664525 + 1013904223) % TWO32
+    return x ^ (x >> 13)
+
+
+def _typos(texts: list[str], seeds: np.ndarray, p: np.ndarray) -> list[str]:
+    """keyboard_typos of some texts, all characters side by side; an empty text has one place, which only a replacement fills."""
+    letters = np.array([ord(ch) for ch in K.TYPO_ALPHABET], np.uint32)
+    sizes = np.array([max(1, len(t)) for t in texts])
+    code = np.frombuffer("".join(t or "\0" for t in texts).encode("utf-32-le"), np.uint32).copy()
+    times = np.ones(len(code), np.int8)
+    ends = np.cumsum(sizes)
+    times[(ends - sizes)[np.array([t == "" for t in texts], bool)]] = 0
+    for at in range(0, len(code), DRAWS):
+        place = np.arange(at, min(at + DRAWS, len(code)))
+        row = np.searchsorted(ends, place, "right")
+        position = place - (ends - sizes)[row]
+        u, rate = _position_draws(seeds[row], position) / TWO32, p[row]
+        changed = np.flatnonzero(u < rate)
+        u, rate, spots = u[changed], rate[changed], place[changed]
+        drop, swap = u < rate / 3, u >= 2 * rate / 3
+        times[spots] *= np.where(drop, 0, 2).astype(np.int8)
+        swapped = spots[swap]
+        code[swapped] = letters[_position_draws(seeds[row[changed[swap]]], position[changed[swap]], 1) % len(letters)]
+        times[swapped] = 1
+    out = np.repeat(code, times).tobytes().decode("utf-32-le")
+    cuts = np.r_[0, np.cumsum(times, dtype=np.int64)[ends - 1]]
+    return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def keyboard_typos(c: Column, seed: Column, p: float | Column = 0.03) -> Column:
     """A third of p each: drop, double or replace a character."""
-    def change(ch: Column, i: Column) -> Column:
-        u = position_uniform(seed, i)
-        return (
-            F.when(u < p / 3, F.lit(""))
-            .when(u < 2 * p / 3, F.concat(ch, ch))
-            .when(u < p, pick(K.TYPO_ALPHABET, position_hash(seed, i, 1)))
-            .otherwise(ch)
-        )
-    return F.array_join(F.transform(F.split(c, ""), change), "")
+    @F.arrow_udf("string")
+    def change(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, seeds, rates in batches:
+            # without a seed or a rate nothing is drawn
+            rates = pc.if_else(pc.is_valid(seeds), rates, None)
+            plain, waiting, size = texts.to_pylist(), [], 0
+            seeds, rates = (pc.fill_null(x, 0).to_numpy(zero_copy_only=False) for x in (seeds, rates))
+            for i, t in enumerate(plain):
+                if t is not None:
+                    waiting.append(i)
+                    size += len(t)
+                if waiting and (size >= DRAWS or i == len(plain) - 1):
+                    for j, noisy in zip(waiting, _typos([plain[j] for j in waiting], seeds[waiting], rates[waiting])):
+                        plain[j] = noisy
+                    waiting, size = [], 0
+            yield pa.array(plain, pa.string())
+
+    return change(c, seed.cast("bigint"), (F.lit(p) if isinstance(p, float) else p).cast("double"))
 
 
 def punct_burst(c: Column, seed: Column, p: float = 0.2) -> Column:
@@ -74,6 +126,7 @@ NOISES = {"keyboard_typos": keyboard_typos, "punct_burst": punct_burst, "emoji":
 def augment(df: DataFrame, key: str, column: str, arm: str | None = None, fraction: float = 0.7,
             seed: int = 42, out: str | None = None, p: float | Column | None = None) -> DataFrame:
     """Noise a fraction of the rows with one arm, or (arm=None) with a random arm of the mix per row."""
+    arrow_batches(df.sparkSession)
     text, draw = F.col(column), F.col("_seed")
     extra = {} if p is None else {"p": p}
     if arm is not None:

@@ -1,6 +1,8 @@
 """What is written between the stages of a job, seen in the plans and the rows sent, with the results beside it."""
 from pyspark.sql import functions as F
 
+from credence.functions.hashing import position_hash, position_uniform
+from credence.operators import augment as A
 from credence.operators import explain as E
 from credence.operators import models as MD
 from credence.operators import vectors as V
@@ -83,3 +85,22 @@ def test_als_lets_go_of_its_shuffles(spark, monkeypatch):
     found = {r.word: r.vector for r in WV.fit_word_vectors(ppmi, rank=2, iterations=3).collect()}
     assert set(found) == {"aa", "bb"} and all(len(v) == 2 for v in found.values())
     assert given["checkpointInterval"] == WV.CHECKPOINTS < 5
+
+
+def test_typos_of_all_characters_are_drawn_side_by_side(spark, monkeypatch):
+    def one_by_one(c, seed, p):
+        def change(ch, i):
+            u = position_uniform(seed, i)
+            return (F.when(u < p / 3, F.lit("")).when(u < 2 * p / 3, F.concat(ch, ch))
+                    .when(u < p, A.pick(A.K.TYPO_ALPHABET, position_hash(seed, i, 1))).otherwise(ch))
+        return F.array_join(F.transform(F.split(c, ""), change), "")
+
+    monkeypatch.setattr(A, "DRAWS", 50)
+    texts = ["", "a", "a\U0001F600b", "שלום hello world " * 9, None, "x\ty\nz"]
+    df = spark.createDataFrame([(i, texts[i % 6]) for i in range(120)], "id long, t string")
+    seed = F.when(F.col("id") % 11 > 0, F.col("id") * 7919 + 3)
+    for p in (0.03, 0.9, F.when(F.col("id") % 5 > 0, F.lit(0.4))):
+        got = df.select("id", "t", A.keyboard_typos(F.col("t"), seed, p).alias("got"), one_by_one(F.col("t"), seed, p).alias("want"))
+        assert got.filter("NOT got <=> want").count() == 0
+    assert got.filter("NOT got <=> t").count() > 30
+    assert "lambdafunction" not in A.augment(df, "id", "t", "keyboard_typos")._jdf.queryExecution().optimizedPlan().toString()
