@@ -104,3 +104,30 @@ def test_typos_of_all_characters_are_drawn_side_by_side(spark, monkeypatch):
         assert got.filter("NOT got <=> want").count() == 0
     assert got.filter("NOT got <=> t").count() > 30
     assert "lambdafunction" not in A.augment(df, "id", "t", "keyboard_typos")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_solver_is_not_sent_the_names_of_its_columns(spark, monkeypatch):
+    given = []
+    fit = MD.LinearSVC.fit
+    monkeypatch.setattr(MD.LinearSVC, "fit", lambda self, rows, *a: given.append(rows) or fit(self, rows, *a))
+    texts = [(i, i % 2, f"{'bad news' if i % 2 else 'good day'} number {i % 5}", float(i % 3)) for i in range(40)]
+    df = spark.createDataFrame(texts, "id long, label int, t string, x double")
+    genes = MD.repair({"word_high": 2, "char_pair": 0, "min_df": 2, "log_c": 0.0, "use_numeric": 1, "tau_low": 0.3, "tau_high": 0.7})
+    tables = MD.search_tables(df, "id", "t", ["x"], [genes])
+    vectors, model = MD.fit_candidate(df.select("id", "label"), "id", tables, genes, 300, 5)
+    assert len(given) == 3 and all(rows.schema["features"].metadata == {} for rows in given)
+    scored = model.transform(vectors(df.select("id", "label"))).collect()
+    assert len(scored) == 40 and sum((r.p_fake > 0.5) == (r.label == 0) for r in scored) == 40
+
+
+def test_the_deal_to_the_folds_moves_no_vectors(spark, monkeypatch):
+    dealt = []
+    deal = MD.G.stratified_folds
+    monkeypatch.setattr(MD.G, "stratified_folds", lambda df, *a, **kw: dealt.append(df.columns) or deal(df, *a, **kw))
+    df = spark.createDataFrame([(i, i % 2, ["bad news", "good day"][i % 2], [1.0, float(i % 2)]) for i in range(60)],
+                               "id long, label int, t string, v array<double>")
+    cfg = MD.StackConfig(dims=4, rounds=2, depth=2, folds=2, max_iter=5, min_df=1)
+    tables = MD.stack_tables(df, "id", "t", "v", [], cfg)
+    stack = MD.fit_bases(df.select("id", "label"), "id", tables, [], cfg)
+    assert dealt and not any("features" in columns for columns in dealt)
+    assert stack.base_scores(df, "id", tables).count() == 60
